@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, shard, simhash, tokenfile
+from . import bpe, decontam, langid, quality, rollup, secret_scan, shard, simhash, template, tokenfile
 
 RANKS = "byte_bpe_50k.tiktoken"
 WORDS = "word_bpe_49k.json"
@@ -36,6 +36,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"), radius=4)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.history(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,9 +58,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_byte_bpe, op3_token_files, op4_simhash, op8_decontamination, op9_language_id)}
+    found = (
+        op1_sharding,
+        op2_byte_bpe,
+        op3_token_files,
+        op4_simhash,
+        op5_secrets,
+        op6_quality,
+        op7_token_counts,
+        op8_decontamination,
+        op9_language_id,
+        op10_main_text,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality": quality.SQL, "op7_token_counts": rollup.SQL}

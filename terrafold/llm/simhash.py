@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import settled, slices, texts_of
@@ -184,12 +184,35 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id of every row."""
-    own = settled(fingerprints(docs, text, (id_col,)))
+def named(own: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """(fp, component_id) of every fingerprint in own, a written table of ids and fingerprints."""
     kinds = settled(own.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = components(links(kinds.select("fp"), radius))
     rooted = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rooted.join(least, "root").select("fp", "component_id")
+
+
+def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, fingerprint (16 hex digits) and component_id of every row."""
+    own = settled(fingerprints(docs, text, (id_col,)))
+    return own.join(named(own, id_col, radius), "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: of the rows with the least id, the first by text.
+
+    Only ids travel: the texts are joined with the ids that stay, not with the components. Rows
+    that repeat an id are told apart by a row number within it; those are few.
+    """
+    own = settled(fingerprints(docs, text, (id_col,)))
+    best = named(own, id_col, radius).select(F.col("component_id").alias("__id"), F.lit(True).alias("__stays")).distinct()
+    many = own.groupBy(F.col(id_col).alias("__many")).count().filter("count > 1").select("__many")
+    many = settled(many)
+    once = docs.join(best, docs[id_col].eqNullSafe(best["__id"]), "left_semi")
+    if many.isEmpty():
+        return once
+    again = once.join(many, once[id_col].eqNullSafe(many["__many"]), "left_semi")
+    single = once.join(many, once[id_col].eqNullSafe(many["__many"]), "left_anti")
+    order = Window.partitionBy(id_col).orderBy(F.col(text).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in docs.columns if c not in (id_col, text)])
+    return single.unionByName(again.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n"))
