@@ -2,4 +2,11 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from importlib import import_module
+
+
+def _module(name: str):
+    return lambda: import_module(f"{__name__}.{name}")
+
+
+MODULES = [_module(n) for n in ("metrics",)]

@@ -1,0 +1 @@
+"""No operator of the library is a stream; the readers in sources take batches."""
