@@ -107,9 +107,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: st
 
 
 def accepted(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    table = settled(measured(docs, text))
-    return judged(table, host).filter("kept").select(*docs.columns)
+    """The rows of docs that are kept, with their own columns, whatever their names are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__text"), F.col(host).alias("__source"))
+    table = settled(measured(packed, "__text").drop("__text"))
+    return judged(table, "__source").filter("kept").select("__doc.*")
 
 
 SQL = r"""

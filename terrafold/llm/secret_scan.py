@@ -115,19 +115,22 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repo: st
 
 def redacted(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", mask: str = "[SECRET]", n_chars: str | None = "n_chars") -> DataFrame:
     """docs with live spans replaced by the mask; examples and all other text stay."""
-    found = settled(with_spans(docs, text, "spans").withColumn("__row", F.monotonically_increasing_id()))
-    live = labelled(found, repo, owner, "__row").filter("n_live > 0").select("__row", "live_spans")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__text"), F.col(repo).alias("__repo"), F.col(owner).alias("__owner"))
+    found = settled(with_spans(packed, "__text").withColumn("__row", F.monotonically_increasing_id()))
+    live = labelled(found, "__repo", "__owner", "__row").filter("n_live > 0").select("__row", "live_spans")
+    whole = F.col("__text")
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, F.greatest(s["at"] - state["at"], F.lit(0)))
+        gap = F.substring(whole, state["at"] + 1, F.greatest(s["at"] - state["at"], F.lit(0)))
         return F.struct(
             F.when(s["at"] >= state["at"], F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
             F.greatest(s["stop"], state["at"]).alias("at"),
         )
 
-    cut = F.aggregate("live_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    plain = found.filter(F.size("spans") == 0).select(*docs.columns)
-    rest = found.filter(F.size("spans") > 0).join(live, "__row", "left").withColumn(text, F.when(F.col("live_spans").isNull(), F.col(text)).otherwise(cut))
+    cut = F.aggregate("live_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
+    plain = found.filter(F.size("spans") == 0).select("__doc.*")
+    rest = found.filter(F.size("spans") > 0).join(live, "__row", "left").withColumn("__new", F.when(F.col("live_spans").isNull(), whole).otherwise(cut))
+    changed = {text: F.col("__new")}
     if n_chars in docs.columns:
-        rest = rest.withColumn(n_chars, F.when(F.col("live_spans").isNull(), F.col(n_chars)).otherwise(F.length(text).cast(docs.schema[n_chars].dataType)))
-    return plain.unionByName(rest.select(*docs.columns))
+        changed[n_chars] = F.when(F.col("live_spans").isNull(), F.col(f"__doc.{n_chars}")).otherwise(F.length("__new").cast(docs.schema[n_chars].dataType))
+    return plain.unionByName(rest.select(*[changed.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns]))
