@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one kernel call holds at once; a longer text is a slice by itself.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
+#: Words for each call of the tokenizer.
+WORDS = 5_000
 #: Words that a process remembers.
 KNOWN = 400_000
 
@@ -70,7 +73,10 @@ def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tok, known = tokenizer(path)
     lens, codes, words = coded(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
     new = [w for w in words if w not in known]
-    fresh = dict(zip(new, (np.array(e.ids, np.uint16).tobytes() for e in tok.encode_batch(new, add_special_tokens=False)))) if new else {}
+    fresh: dict[str, bytes] = {}
+    for at in range(0, len(new), WORDS):  # an encoding holds a hundred times its ids
+        block = new[at : at + WORDS]
+        fresh.update((w, array("H", e.ids).tobytes()) for w, e in zip(block, tok.encode_batch_fast(block, add_special_tokens=False)))
     done = [known.get(w) if w in known else fresh[w] for w in words]
     if len(known) < KNOWN:
         known.update(fresh)
