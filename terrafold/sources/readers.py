@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def wkb_point(values: pd.Series) -> pd.DataFrame:
     """x and y of well-known-binary points of either byte order; null for null."""
     out = np.full((len(values), 2), np.nan)
