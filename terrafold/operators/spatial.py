@@ -81,7 +81,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, key: str, on: tuple[str,
     """
     where = F.col(key) != F.col(f"{key}_2") if where is None else where
     extent, n = _extent(points, queries), points.count()
-    edge = start or max(1.0, extent * math.sqrt((k + 1) / (math.pi * max(n, 1))))
+    edge = start or max(1.0, 1.5 * extent * math.sqrt((k + 1) / (math.pi * max(n, 1))))
     right = settled(points.select(*[F.col(c).alias(c if c in on else f"{c}_2") for c in points.columns]))
     left, out = queries, None
     while True:
@@ -107,7 +107,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, key: str, on: tuple[str,
         edge *= 2
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, start: float, radius: float | None = None) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, start: float | None = None, radius: float | None = None) -> DataFrame:
     """The nearest segment of each point: (key, segment, d2). segments: segment, x1, y1, x2, y2.
 
     Ties go to the lower segment. With ``radius``, a point without a segment within it has nulls and no
@@ -119,6 +119,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, start: flo
         return points.select(key, F.lit(None).cast(segments.schema["segment"].dataType).alias("segment"), F.lit(None).cast("double").alias("d2"))
     corners = box.select(F.col("bx0").alias("x"), F.col("by0").alias("y")).unionByName(box.select(F.col("bx1").alias("x"), F.col("by1").alias("y")))
     extent = _extent(points.select("x", "y"), corners)
+    start = start or max(1.0, extent / (2 * math.sqrt(box.count())))  # half the spacing of as many points
     edge, left, out = float(radius or start), points.select(key, "x", "y"), None
     while True:
         last = radius is not None or edge > 2 * extent + 1
@@ -133,4 +134,4 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, start: flo
         left = settled(left.join(near, key, "left_anti"))
         if left.isEmpty():
             return points.select(key).join(out, key, "left")
-        edge *= 4
+        edge *= 2

@@ -9,4 +9,4 @@ def _module(name: str):
     return lambda: import_module(f"{__name__}.{name}")
 
 
-MODULES = [_module(n) for n in ("metrics", "scalars", "relational", "spatial", "graphs", "population", "runs")]
+MODULES = [_module(n) for n in ("metrics", "scalars", "relational", "spatial", "graphs", "population", "runs", "reports")]

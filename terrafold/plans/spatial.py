@@ -72,14 +72,14 @@ _SEG = _SEG.replace("SELECT poly, unnest(es) AS e, unnest(range(len(es))) AS k,
 
 @register("J12_G03_nearest_line", _SEG + "SELECT pid, round(sqrt(min(d2)), 4) AS d FROM dd GROUP BY pid")
 def nearest_line(spark, sf_dir):
-    near = SP.nearest_segment(view(spark, sf_dir, "pts"), segments(spark, sf_dir), "pid", 8000)
+    near = SP.nearest_segment(view(spark, sf_dir, "pts"), segments(spark, sf_dir), "pid")
     return near.select("pid", F.round(F.sqrt("d2"), 4).alias("d"))
 
 
 @register("J13_bounded_nearest", _SEG + "SELECT pid, round(sqrt(min(d2) FILTER (d2 <= 25000000)), 4) AS d FROM dd GROUP BY pid")
 def bounded_nearest(spark, sf_dir):
     """Distance up to 5 km, null beyond."""
-    near = SP.nearest_segment(view(spark, sf_dir, "pts"), segments(spark, sf_dir), "pid", 5000, radius=5000)
+    near = SP.nearest_segment(view(spark, sf_dir, "pts"), segments(spark, sf_dir), "pid", radius=5000)
     return near.select("pid", F.round(F.sqrt("d2"), 4).alias("d"))
 
 
@@ -87,7 +87,7 @@ def bounded_nearest(spark, sf_dir):
 def line_types(spark, sf_dir):
     """Rivers and coast measured apart."""
     p, s = view(spark, sf_dir, "pts"), segments(spark, sf_dir)
-    river, coast = (SP.nearest_segment(p, s.filter(c), "pid", 8000).select("pid", F.round(F.sqrt("d2"), 4).alias(n)) for n, c in (("river", "segment % 10 < 2"), ("coast", "segment % 10 >= 2")))
+    river, coast = (SP.nearest_segment(p, s.filter(c), "pid").select("pid", F.round(F.sqrt("d2"), 4).alias(n)) for n, c in (("river", "segment % 10 < 2"), ("coast", "segment % 10 >= 2")))
     return river.join(coast, "pid")
 
 
@@ -181,9 +181,9 @@ def projection(spark, sf_dir):
     return p.select("pid", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"), back.alias("back"))
 
 
-@register("G11_network_filter", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) OR p_type LIKE '%BRASS%'")
+@register("G11_network_filter", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) OR p_type LIKE '%SMALL%'")
 def network_filter(spark, sf_dir):
     """Rows known by key, or of one type."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     keys = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("known")).distinct()
-    return p.join(keys, "p_partkey", "left").filter("known OR p_type LIKE '%BRASS%'").select("p_partkey")
+    return p.join(keys, "p_partkey", "left").filter("known OR p_type LIKE '%SMALL%'").select("p_partkey")
