@@ -18,8 +18,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.count("*").alias("degree"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, root): the least node of each node's component.
+def contracted(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node with an edge (a, b); root is the least node of its component.
 
     Alternating star contraction: every round hangs neighbours on the least one, and the rounds grow
     with the logarithm of the longest path. Each round's edges are written to the shared folder.
@@ -27,17 +27,23 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     while True:
+        # Large star: each node hangs its greater neighbours on its least neighbour or itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
+        # Small star: each node hangs its lesser neighbours, and itself, on the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
         now = settled(small.filter("u <> v").distinct())
         digest = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if digest == seen:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = digest
-    return nodes.join(now.withColumnRenamed("u", node), node, "left").select(node, F.coalesce("v", node).alias("root"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
+    """(node, root): the least node of each node's component; a node without edges is its own."""
+    return nodes.join(contracted(edges).withColumnRenamed("node", node), node, "left").select(node, F.coalesce("root", node).alias("root"))
 
 
 def ranked(parts: DataFrame, node: str = "node", least: int = 1) -> DataFrame:

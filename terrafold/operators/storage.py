@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's ``spark.checkpoint.dir``; only where that is unset, under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/terrafold"
+    """A new folder that driver and executors share.
+
+    It lies in the folder that the session names in ``spark.checkpoint.dir``; only where that is unset
+    (tests, local mode), under /tmp.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/terrafold"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
