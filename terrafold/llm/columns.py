@@ -1,40 +1,19 @@
-"""Shared helpers: word columns as arrays, shared folders, checked broadcasts."""
+"""Shared helpers: slices of texts, and words as arrays of codes."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.storage import settled, shared_dir  # noqa: F401
 
 #: Text bytes that one kernel call holds at once; a longer text is a slice by itself.
 SLICE_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share.
-
-    It lies in the folder that the session names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, local mode) is a folder under /tmp set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "/tmp/checkpoints/terrafold"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once, as a Parquet table in the shared folder, and read again.
-
-    It cuts the lineage: a lost executor recomputes nothing above the table."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about SLICE_BYTES of text, so that memory stays bounded."""
     at = batch.schema.get_field_index(column)

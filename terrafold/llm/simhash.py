@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import contracted
 from .columns import settled, slices, texts_of
 
 #: Distinct fingerprints up to which a bucket's pairs are tested in place.
@@ -165,29 +166,10 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(grouped).unionByName(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge (a, b); root is the least node of its component."""
-    now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
-        # Large star: each node hangs its greater neighbours on its least neighbour or itself.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-        # Small star: each node hangs its lesser neighbours on the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("w"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("w").alias("v"))
-        new = settled(small.filter("u <> v").distinct())
-        digest = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        same, seen, now = digest == seen, digest, new
-        if same:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def named(own: DataFrame, id_col: str, radius: int) -> DataFrame:
     """(fp, component_id) of every fingerprint in own, a written table of ids and fingerprints."""
     kinds = settled(own.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    roots = components(links(kinds.select("fp"), radius))
+    roots = contracted(links(kinds.select("fp"), radius))
     rooted = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.operators.graph import contracted
 from terrafold.llm import bpe, decontam, langid, quality, rollup, secret_scan, shard, simhash, template, tokenfile
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -150,7 +151,7 @@ def test_links_connect_what_all_pairs_would(spark, bucket):
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.integers(0, 63, rng.integers(0, 7))) for b in base for _ in range(25)} | {0, 1, 15, 31})
     edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, bucket)
     assert all(bin(a ^ b).count("1") <= 4 for a, b in pairs(edges, "a", "b"))
-    named = {n: r for n, r in pairs(simhash.components(edges), "node", "root")}
+    named = {n: r for n, r in pairs(contracted(edges), "node", "root")}
     want = brute_components(fps)
     assert [named.get(f, f) for f in fps] == [fps[w] for w in want]
 
@@ -165,7 +166,7 @@ def test_masks_cover_every_pair_within_the_radius():
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
-    assert {r for _, r in pairs(simhash.components(edges), "node", "root")} == {0}
+    assert {r for _, r in pairs(contracted(edges), "node", "root")} == {0}
 
 
 def test_simhash_classes_and_representatives(docs, none):
