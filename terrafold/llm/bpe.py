@@ -35,12 +35,12 @@ from pyspark.sql import types as T
 from .columns import coded, gather, slices, sums, texts_of
 
 #: Pieces for each recursive query.
-PIECES = 20_000
+PIECES = 10_000
 #: Bytes beyond which a piece goes through the query for long pieces.
 LONG = 64
-LONG_ROWS = 200_000
+LONG_ROWS = 100_000
 #: Encoded pieces that a process remembers, so that later slices needn't encode them again.
-DONE = 400_000
+DONE = 150_000
 
 _NO_POS, _NO_TOKEN = (1 << 23) - 1, 65535
 
@@ -107,7 +107,7 @@ class Codec:
         #: Ids (unsigned 16-bit) of whole vocabulary entries, and of up to DONE pieces met before in this process.
         self.done = {w: k.to_bytes(2, "little") for w, k in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m0", pa.table({"pair": [p for p, _ in pairs], "k": [k for _, k in pairs]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m0")
         self.db.register("v0", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "b": [w.decode("latin-1") for w in self.ranks]}))
@@ -244,7 +244,7 @@ def decode(df: DataFrame, ids: str, ranks_path: str, pattern: str, out: str = "d
 
 
 #: Ids for each decoding query; a longer document is a query by itself.
-DECODE_ROWS = 2_000_000
+DECODE_ROWS = 500_000
 
 
 def decoded(code: Codec, column: pa.Array) -> pa.Array:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow.compute as pc
 from ..operators.storage import settled, shared_dir  # noqa: F401
 
 #: Text bytes that one kernel call holds at once; a longer text is a slice by itself.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -24,6 +26,14 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on and shares its executor's limit with others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -36,7 +46,7 @@ def coded(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A list column of strings as (parts per row, code of each part, distinct parts)."""
     lens = np.asarray(pc.list_value_length(parts), dtype=np.int64)
     enc = pc.dictionary_encode(parts.flatten())
-    return lens, np.asarray(enc.indices, dtype=np.int64), enc.dictionary.to_pylist()
+    return lens, np.array(enc.indices), enc.dictionary.to_pylist()
 
 
 def gather(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -46,7 +56,9 @@ def gather(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarr
     ends = np.cumsum(n)
     if not len(ends):
         return values[:0]
-    index = np.arange(int(ends[-1])) + np.repeat(starts[codes] - (ends - n), n)
+    kind = np.int32 if max(ends[-1], len(values)) < 1 << 31 else np.int64  # the index is the largest array here
+    index = np.repeat((starts[codes] - (ends - n)).astype(kind), n)
+    index += np.arange(len(index), dtype=kind)
     return values[index]
 
 

@@ -64,7 +64,7 @@ def tokenizer(path: str):
 #: Words for each call of the tokenizer.
 WORDS = 5_000
 #: Words that a process remembers.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
