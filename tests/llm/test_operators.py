@@ -300,3 +300,14 @@ def test_template_text_is_left_out(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div><p>Welcome to our site</p></div><div><p>Story {i}</p></div></body>") for i in range(6)]
     got = dict(pairs(template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
     assert got == {i: f"Story {i}" for i in range(6)}
+
+
+def test_pages_without_an_article_on_a_mixed_host(spark):
+    story = "<body><article><p>Story %d</p></article><p>Imprint</p></body>"
+    rows = [(i, f"http://h.example/{i}", story % i) for i in range(3)] + [(3, "http://h.example/3", "<body><div><p>Index</p></div><p>Imprint</p></body>"), (4, "http://h.example/4", "<body><article></article><p>Imprint</p></body>")]
+    got = dict(pairs(template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {0: "Story 0", 1: "Story 1", 2: "Story 2", 3: "Index", 4: ""}
+    uniform = [(i, f"http://g.example/{i}", f"<body><main><p>Story {i}</p></main></body>") for i in range(3)]
+    mixed = [*uniform, (3, "http://g.example/3", "<body><p>No main</p></body>"), (4, "http://g.example/4", "<body><p>None here</p><main></main></body>")]
+    got = dict(pairs(template.extract(spark.createDataFrame(mixed, "page_id long, url string, html string")), "page_id", "text"))
+    assert got[3] == "No main"
