@@ -311,3 +311,29 @@ def test_pages_without_an_article_on_a_mixed_host(spark):
     mixed = [*uniform, (3, "http://g.example/3", "<body><p>No main</p></body>"), (4, "http://g.example/4", "<body><p>None here</p><main></main></body>")]
     got = dict(pairs(template.extract(spark.createDataFrame(mixed, "page_id long, url string, html string")), "page_id", "text"))
     assert got[3] == "No main"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<body class='has-sidebar'><article><p>Story</p></article></body>",
+        "<body class='comments-open sidebar'><article><p>Story</p></article></body>",
+        "<body><main class='with-sidebar search'><p>Story</p></main></body>",
+        "<body><article class='post share'><p>Story</p></article></body>",
+        "<body><div id='page-header-wrap'><div><p>Story</p></div></div></body>",
+        "<body><div class='banner'><div><article><p>Story</p></article></div></div></body>",
+        "<body><article><div class='article-header'><h1>Story</h1></div></article></body>",
+        "<body><main><div class='share'><article><p>Story</p></article></div></main></body>",
+        "<body><div class='related'><article><p>Story</p></article></div></body>",
+        "<body><article><p>Story</p><div class='share'>no</div><div id='cookie-notice'>no</div><div role='search'>no</div></article></body>",
+        "<body><main><article><p>Story</p></article><div id='comments'><ol><li><article>no</article></ol></div></main></body>",
+    ],
+)
+def test_marks_drop_boilerplate_only(body):
+    assert template.main_text(body, set(), set()) == "Story"
+
+
+def test_identical_pages_keep_their_text(spark):
+    rows = [(i, f"http://h.example/{i}", "<body><div><p>One</p><p>Two</p></div></body>") for i in range(4)]
+    got = dict(pairs(template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == {i: "One\nTwo" for i in range(4)}
