@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import contracted
+from . import near
 from .columns import settled, slices, texts_of
 
 #: Distinct fingerprints up to which a bucket's pairs are tested in place.
@@ -166,10 +167,11 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(grouped).unionByName(stars).distinct()
 
 
-def named(own: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(fp, component_id) of every fingerprint in own, a written table of ids and fingerprints."""
+def named(own: DataFrame, id_col: str, radius: int, linked: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) of every fingerprint in own, a written table of ids and fingerprints; ``linked``
+    takes the place of the links within the radius."""
     kinds = settled(own.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    roots = contracted(links(kinds.select("fp"), radius))
+    roots = contracted(links(kinds.select("fp"), radius) if linked is None else linked)
     rooted = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
@@ -181,14 +183,21 @@ def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str
     return own.join(named(own, id_col, radius), "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", similar: float | None = None, width: int = 5) -> DataFrame:
     """One row of each component, with all its columns: of the rows with the least id, the first by text.
 
+    With ``similar``, rows are linked by the Jaccard similarity of their shingles of ``width`` words (near.py),
+    not by fingerprints within the radius.
+
     Only ids travel: the texts are joined with the ids that stay, not with the components. Rows
     that repeat an id are told apart by a row number within it; those are few.
     """
-    own = settled(fingerprints(docs, text, (id_col,)))
-    best = named(own, id_col, radius).select(F.col("component_id").alias("__id"), F.lit(True).alias("__stays")).distinct()
+    if similar is None:
+        own, linked = settled(fingerprints(docs, text, (id_col,))), None
+    else:
+        own = settled(near.nodes(docs, id_col, text, width))
+        linked = near.links(docs, own, id_col, text, similar, width)
+    best = named(own, id_col, radius, linked).select(F.col("component_id").alias("__id"), F.lit(True).alias("__stays")).distinct()
     many = own.groupBy(F.col(id_col).alias("__many")).count().filter("count > 1").select("__many")
     many = settled(many)
     once = docs.join(best, docs[id_col].eqNullSafe(best["__id"]), "left_semi")

@@ -337,3 +337,32 @@ def test_identical_pages_keep_their_text(spark):
     rows = [(i, f"http://h.example/{i}", "<body><div><p>One</p><p>Two</p></div></body>") for i in range(4)]
     got = dict(pairs(template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
     assert got == {i: "One\nTwo" for i in range(4)}
+
+
+def test_near_copies_by_similarity(spark, docs, none):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(40):
+        base = prose(200, 100 + i).split()
+        rows.append((1000 * i, " ".join(base)))
+        for j in range(1, 6):
+            other = list(base)
+            for at in rng.choice(200, 2 * j, replace=False):
+                other[at] = f"new{i}x{j}x{at}"
+            rows.append((1000 * i + j, " ".join(other)))
+    sets = {k: {tuple(t.split()[a : a + 5]) for a in range(196)} for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and a // 1000 == b // 1000 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    want = sorted(set(root.values()))
+    assert 40 < len(want) < len(rows) - 60
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(x for (x,) in pairs(simhash.representatives(frame, similar=0.8), "doc_id")) == want
+    assert len(want) < simhash.representatives(frame).count()  # fingerprints miss most of them
+    # Nulls, texts without words and repeated ids
+    kept = simhash.representatives(docs, similar=0.8)
+    ids = [x for (x,) in pairs(kept, "doc_id")]
+    assert kept.columns == docs.columns and ids.count(None) == 1 and sorted(x for x in ids if x is not None) == [0] + [i for i in range(5, len(TEXTS)) if i != 6]
+    assert simhash.representatives(none, similar=0.8).count() == 0
