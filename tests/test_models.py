@@ -71,3 +71,34 @@ def test_stages_resume_and_name_what_is_missing(spark, tmp_path):
 def test_every_query_has_a_name_once():
     found = registry.queries()
     assert len(found) > 120 and set(registry.oracle_sql()) <= set(found)
+
+
+def test_registered_queries_cover_the_grid_and_the_plan(spark, monkeypatch):
+    import inspect
+
+    from terrafold.operators import models, search
+    from terrafold.plans import population
+
+    class Seen(Exception):
+        pass
+
+    seen = {}
+
+    def caught(name, f):
+        def run(*args, **kwargs):
+            seen[name] = inspect.signature(f).bind(*args, **kwargs)
+            seen[name].apply_defaults()
+            raise Seen
+
+        return run
+
+    monkeypatch.setattr(models, "population", caught("population", models.population))
+    monkeypatch.setattr(search, "search", caught("search", search.search))
+    for query in (population.population, population.subset_search):
+        with pytest.raises(Seen):
+            query(spark, "/root/testdata/sf0.001")
+    specs = next(v for k, v in seen["population"].arguments.items() if k in ("specs", "grid", "settings"))
+    assert specs.count() == 369 and specs.select("grid_idx").distinct().count() == 369
+    got = seen["search"].arguments
+    assert got["units"] == search.plan() and len(got["units"]) == 55
+    assert (got["trials"], got["max_steps"], got["patience"]) == (100, 50_000, 500)
