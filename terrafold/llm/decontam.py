@@ -17,8 +17,8 @@ Items go to the tasks in blocks of at most BLOCK_BYTES of text, each block a pas
 documents; so what is broadcast is bounded however many items there are.
 
 Words are runs without white space, in lower case, without the signs at their ends; runs
-of signs alone are no words. Items of under five words have no shingle and match nothing. Null
-texts match nothing. Equal items, or documents, are separate rows; each matches by itself.
+of signs alone are no words. An item of under five words is one shingle of its own width and is
+found where its words stand in a row. Texts that are null or without words match nothing. Equal items, or documents, are separate rows; each matches by itself.
 """
 
 from __future__ import annotations
@@ -75,9 +75,13 @@ def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def _index(items: list[tuple], threshold: float, width: int) -> dict:
     kept, values, owners = [], [], []
+    short: dict[int, dict[str, list[int]]] = {}
     for item_id, text in items:
         own = sorted(set(shingles_of(text, width)))
         if not own:
+            if words := words_of(text):
+                short.setdefault(len(words), {}).setdefault(" ".join(words), []).append(len(kept))
+                kept.append((item_id, 1, frozenset((" ".join(words),))))
             continue
         hashes = np.unique(np.concatenate([_rolled(_word_hashes(x.split(" ")), width) for x in own]))
         sketch = hashes[: int((1 - threshold) * len(own) + 1e-9) + 1]
@@ -92,7 +96,8 @@ def _index(items: list[tuple], threshold: float, width: int) -> dict:
     sizes = np.array([n for _, n, _ in kept], np.int64)
     part = np.log2(np.maximum(sizes, 1)).astype(np.int64)
     floor = np.array([int(np.ceil(threshold * sizes[part == p].min() - 1e-9)) for p in part], np.int64)
-    return {"items": kept, "values": values[order], "owners": owners[order], "bitmap": bitmap, "floor": floor}
+    whole = {n: (np.unique(np.concatenate([_rolled(_word_hashes(x.split(" ")), n) for x in own])), own) for n, own in short.items()}
+    return {"items": kept, "values": values[order], "owners": owners[order], "bitmap": bitmap, "floor": floor, "short": whole}
 
 
 def _matches(texts: pa.Array, index: dict, threshold: float, width: int) -> Iterator[tuple[int, int, int]]:
@@ -103,6 +108,16 @@ def _matches(texts: pa.Array, index: dict, threshold: float, width: int) -> Iter
     rows = np.repeat(np.arange(len(lens)), lens)[real]
     codes = codes[real]
     hashes = _word_hashes(names)[codes]
+    for n, (values, phrases) in index["short"].items():
+        at = np.flatnonzero(np.isin(_rolled(hashes, n), values))
+        at = at[rows[at] == rows[at + n - 1]]
+        seen = set()
+        for row, a in zip(rows[at].tolist(), at.tolist()):
+            phrase = " ".join([names[c] for c in codes[a : a + n].tolist()])
+            if (row, phrase) not in seen:
+                seen.add((row, phrase))
+                for item in phrases.get(phrase, ()):
+                    yield row, item, 1
     rolled = _rolled(hashes, width)
     if not len(rolled) or not len(index["values"]):
         return

@@ -366,3 +366,12 @@ def test_near_copies_by_similarity(spark, docs, none):
     ids = [x for (x,) in pairs(kept, "doc_id")]
     assert kept.columns == docs.columns and ids.count(None) == 1 and sorted(x for x in ids if x is not None) == [0] + [i for i in range(5, len(TEXTS)) if i != 6]
     assert simhash.representatives(none, similar=0.8).count() == 0
+
+
+def test_items_of_under_five_words_are_found(spark):
+    items = spark.createDataFrame([(1, "Seven Wizards!"), (2, "gone"), (3, "a b c d"), (4, "..."), (5, "seven wizards"), (6, prose(30, 20))], "item_id long, text string")
+    texts = ["the seven wizards, and seven wizards", "wizards seven", "seven", "wizards", "x a b c d y", "b c d a", "gone", None, "", prose(40, 9) + " Gone. " + prose(30, 20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = sorted(pairs(decontam.hits(rows, items), "doc_id", "item_id", "n_item", "n_common", "containment"))
+    assert got == [(0, 1, 1, 1, 1.0), (0, 5, 1, 1, 1.0), (4, 3, 1, 1, 1.0), (6, 2, 1, 1, 1.0), (9, 2, 1, 1, 1.0), (9, 6, 26, 26, 1.0)]
+    assert sorted(pairs(decontam.clean(rows, items), "doc_id")) == [(1,), (2,), (3,), (5,), (7,), (8,)]
