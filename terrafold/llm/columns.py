@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 from ..operators.storage import settled, shared_dir  # noqa: F401
 
@@ -16,9 +17,32 @@ from ..operators.storage import settled, shared_dir  # noqa: F401
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def position(df: DataFrame, name: str) -> int:
+    """The place of a column, by Spark's rule that a name's case says nothing."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def without(names: list[str], *added: str) -> list[int]:
+    """Places of the names that no added name replaces."""
+    taken = {x.lower() for x in added}
+    return [i for i, c in enumerate(names) if c.lower() not in taken]
+
+
+def free(names: list[str], name: str) -> str:
+    """The name, with as many underscores before it as set it apart from the names."""
+    taken = {c.lower() for c in names}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _at(batch: pa.RecordBatch, column: int | str) -> int:
+    return column if isinstance(column, int) else batch.schema.get_field_index(column)
+
+
+def slices(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
     """The batch in row slices of about SLICE_BYTES of text, so that memory stays bounded."""
-    at = batch.schema.get_field_index(column)
+    at = _at(batch, column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64)
     if not len(sizes):
         return
@@ -36,17 +60,23 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
+def texts_of(batch: pa.RecordBatch, column: int | str) -> pa.Array:
     """The text column without nulls (a null is the empty text)."""
-    arr = batch.column(batch.schema.get_field_index(column))
+    arr = batch.column(_at(batch, column))
     return pc.fill_null(arr.cast(pa.large_string()), "")
 
 
-def coded(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_array(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """A list column of strings as (parts per row, code of each part, distinct parts)."""
     lens = np.asarray(pc.list_value_length(parts), dtype=np.int64)
     enc = pc.dictionary_encode(parts.flatten())
-    return lens, np.array(enc.indices), enc.dictionary.to_pylist()
+    return lens, np.array(enc.indices), enc.dictionary
+
+
+def coded(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """coded_array() with the distinct parts as Python strings."""
+    lens, codes, distinct = coded_array(parts)
+    return lens, codes, distinct.to_pylist()
 
 
 def gather(codes: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import coded, gather, shared_dir, slices, sums, texts_of
+from .columns import coded_array, gather, shared_dir, slices, sums, texts_of
 
 #: Settings of the files: row groups, pages, and the writer whose fallback encoding is delta.
 OPTIONS = {
@@ -53,35 +53,85 @@ FILE_SCHEMA = T.StructType(
 
 @functools.cache
 def tokenizer(path: str):
+    """(tokenizer, words met before in this process and their ids, whether an id ends a word)."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    vocab = tok.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for word, i in vocab.items() if word.endswith(WORD_END)]] = True
+    return tok, {}, ends
 
 
-#: Words for each call of the tokenizer.
-WORDS = 5_000
+#: Words for each call of the tokenizer, and words that it gets as one text.
+WORDS, JOINED = 5_000, 200
 #: Words that a process remembers.
 KNOWN = 200_000
+# The vocabulary's mark of a word's last token; how special tokens begin
+WORD_END, SPECIAL = "</w>", "<|"
+# A letter or digit that every Unicode version takes for one (but U+0130, whose lower case ends in a mark), and the ASCII signs after it
+_TAIL = "(?s)^(?P<core>.*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u021f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f])(?P<tail>[!-/:-@\\[-`{-~]+)$"
+
+
+def _encoded(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """The ids (unsigned 16-bit) of each word.
+
+    Words of letters only are one pre-token each, so JOINED of them are encoded as one text and cut behind the
+    ids that end a word; should a text not have as many of these as words, its words are encoded one by one.
+    """
+    out: dict[str, bytes] = {}
+    plain = [w for w in words if w.isalpha()]
+    for at in range(0, len(plain), WORDS):  # an encoding holds a hundred times its ids
+        block = plain[at : at + WORDS]
+        texts = [block[i : i + JOINED] for i in range(0, len(block), JOINED)]
+        for own, e in zip(texts, tok.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            cuts = (2 * np.flatnonzero(ends[ids]) + 2).tolist()
+            if len(cuts) == len(own):
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(own, [0, *cuts], cuts))
+    rest = [w for w in words if w not in out]
+    for at in range(0, len(rest), WORDS):
+        block = rest[at : at + WORDS]
+        out.update((w, array("H", e.ids).tobytes()) for w, e in zip(block, tok.encode_batch_fast(block, add_special_tokens=False)))
+    return [out[w] for w in words]
+
+
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word as its core and the signs at its end, as the tokenizer cuts and folds them.
+
+    The tokenizer breaks between a letter or digit and a sign behind it, and lowers letters. ASCII letters are
+    lowered here only where a core has no others, since composition comes first. What may hold a special token
+    stays whole.
+    """
+    special = pc.match_substring(words, SPECIAL)
+    found = pc.extract_regex(words, _TAIL)
+    cut = pc.and_not(found.is_valid(), special)
+    core = pc.if_else(cut, pc.struct_field(found, "core"), words)
+    tail = pc.if_else(cut, pc.struct_field(found, "tail"), "")
+    return pc.if_else(pc.and_not(pc.string_is_ascii(core), special), pc.ascii_lower(core), core), tail
 
 
 def encode_words(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids of each text: how many, all ids). The tokenizer drops white space and breaks at
     it, so a text's ids are those of its parts between spaces and line ends, joined."""
-    tok, known = tokenizer(path)
-    lens, codes, words = coded(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
-    new = [w for w in words if w not in known]
-    fresh: dict[str, bytes] = {}
-    for at in range(0, len(new), WORDS):  # an encoding holds a hundred times its ids
-        block = new[at : at + WORDS]
-        fresh.update((w, array("H", e.ids).tobytes()) for w, e in zip(block, tok.encode_batch_fast(block, add_special_tokens=False)))
-    done = [known.get(w) if w in known else fresh[w] for w in words]
+    tok, known, ends = tokenizer(path)
+    lens, codes, words = coded_array(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+    core, tail = _parts(words)
+    both = pc.dictionary_encode(pa.chunked_array([core, tail]).combine_chunks())
+    names = both.dictionary.to_pylist()
+    new = [w for w in names if w not in known]
+    fresh = dict(zip(new, _encoded(tok, ends, new)))
+    done = [known.get(w) if w in known else fresh[w] for w in names]
     if len(known) < KNOWN:
         known.update(fresh)
     sizes = np.fromiter((len(x) >> 1 for x in done), np.int64, len(done))
-    return sums(sizes[codes], lens), gather(codes, sizes, np.frombuffer(b"".join(done), np.uint16))
+    of = np.asarray(both.indices).reshape(2, -1).T.ravel()  # core and tail of each word, one after another
+    sizes, ids = sizes[of].reshape(-1, 2).sum(1), gather(of, sizes, np.frombuffer(b"".join(done), np.uint16))
+    return sums(sizes[codes], lens), gather(codes, sizes, ids)
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text: str = "text", n_files: int | None = None) -> None:
