@@ -4,19 +4,19 @@ Encoding. The pre-tokeniser's pieces of a slice of rows are made distinct; a pie
 is itself a vocabulary entry is done. Any other piece becomes token-position rows
 (piece, position, token, next position, next token) that a recursive query joins with
 the merge table: each round contracts the piece's leftmost pair of minimum rank, until no
-pair of the piece has a rank. Pieces of over LONG bytes go through a second recursive
-query, which contracts all pairs of the minimum rank in a round when that gives what
-one contraction after another would (no pair made on the way ranks lower) and else only
-the leftmost; so a run of a hundred thousand letters takes a few rounds.
+pair of the piece has a rank. A recursive query keeps the rows of all its rounds, so it
+makes at most STEP_ROWS of them and the pieces that aren't done go on in another query.
+A piece of over LONG bytes is encoded in windows (stitch.py), which gives the same ids, so
+one of millions of bytes costs time in proportion to its length.
 
 Decoding. (row, position, id) rows join the vocabulary, and an aggregation ordered by
 position joins the bytes.
 
-Nothing is shuffled. A task's memory is bounded by SLICE_BYTES of text and PIECES pieces
-for each DuckDB call; a lost executor's tasks are simply run again.
+Nothing is shuffled. A task's memory is bounded by SLICE_BYTES of text (or one longer text)
+and STEP_ROWS rows for each DuckDB call; a lost executor's tasks are simply run again.
 
 Nulls and the empty text have no ids. Repeated rows get the same ids. All other columns
-pass through; the added ones must be free names.
+pass through; a column of the added name is replaced, as by withColumn.
 """
 
 from __future__ import annotations
@@ -32,56 +32,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import coded, gather, slices, sums, texts_of
+from .columns import coded, gather, position, slices, sums, texts_of, without
+from .stitch import stitched, windows_of
 
-#: Pieces for each recursive query.
-PIECES = 10_000
-#: Bytes beyond which a piece goes through the query for long pieces.
+#: Bytes beyond which a piece is encoded in windows.
 LONG = 64
-LONG_ROWS = 100_000
-#: Encoded pieces that a process remembers, so that later slices needn't encode them again.
-DONE = 150_000
-
-_NO_POS, _NO_TOKEN = (1 << 23) - 1, 65535
-
-_SHORT_SQL = """
+#: Rows at the beginning of a recursive query, and rows of all its rounds.
+START_ROWS, STEP_ROWS = 100_000, 2_000_000
+#: Encoded pieces, and encoded windows, that a process remembers, so that later slices needn't encode them again.
+DONE, WINDOWS = 150_000, 50_000
+#: Bytes of long pieces whose windows are encoded together.
+GROUP_BYTES = 256 << 10
+
+_NO_POS, _NO_TOKEN = 1 << 40, 65535
+
+# A token stands at its last byte's position. A pair's rank, position and distance (under 256 bytes) are one number,
+# so that a minimum finds the leftmost pair of minimum rank.
+_STEP_SQL = """
 WITH RECURSIVE step(n, w, p, p2, t, t2, k) AS (
   SELECT 0, s.w, s.p, s.p2, s.t, s.t2, m.k FROM start s LEFT JOIN merges m ON m.pair = (s.t << 16) | s.t2
   UNION ALL
-  (WITH best AS (SELECT w, min((k << 46) | (p << 23) | p2) AS b FROM step WHERE k IS NOT NULL GROUP BY w),
-        cut AS (SELECT w, b >> 46 AS m, (b >> 23) & 8388607 AS bp, b & 8388607 AS bp2 FROM best),
+  (WITH best AS (SELECT w, min((k << 44) | (p << 8) | (p2 - p)) AS b FROM step WHERE k IS NOT NULL AND n < {rounds} GROUP BY w),
+        cut AS (SELECT w, b >> 44 AS m, (b >> 8) & 68719476735 AS bp, ((b >> 8) & 68719476735) + (b & 255) AS bp2 FROM best),
         moved AS (
           SELECT s.n + 1 AS n, s.w, s.p, CASE WHEN s.p2 = c.bp THEN c.bp2 ELSE s.p2 END AS p2,
                  CASE WHEN s.p = c.bp2 THEN c.m ELSE s.t END AS t, CASE WHEN s.p2 = c.bp THEN c.m ELSE s.t2 END AS t2
           FROM step s JOIN cut c USING (w) WHERE s.p <> c.bp)
    SELECT v.n, v.w, v.p, v.p2, v.t, v.t2, m.k FROM moved v LEFT JOIN merges m ON m.pair = (v.t << 16) | v.t2)
 )
-SELECT s.w, s.t FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.w, s.p
-"""
-
-_LONG_SQL = """
-WITH RECURSIVE step(n, w, p, t, t2, k) AS (
-  SELECT 0, s.w, s.p, s.t, s.t2, m.k FROM start s LEFT JOIN merges m ON m.pair = (s.t << 16) | s.t2
-  UNION ALL
-  (WITH low AS (SELECT *, min(k) OVER (PARTITION BY w) AS m FROM step),
-        flag AS (SELECT *, coalesce(k = m, false) AS f, row_number() OVER (PARTITION BY w ORDER BY p) AS rn
-                 FROM low WHERE m IS NOT NULL),
-        run AS (SELECT *, rn - max(CASE WHEN f THEN 0 ELSE rn END) OVER (PARTITION BY w ORDER BY p) AS r,
-                       min(CASE WHEN f THEN p END) OVER (PARTITION BY w) AS p0 FROM flag),
-        tried AS (SELECT a.*, v.every, CASE WHEN v.every THEN a.f AND a.r % 2 = 1 ELSE a.p = a.p0 END AS c
-                  FROM run a CROSS JOIN (VALUES (true), (false)) v(every)),
-        near AS (SELECT *, coalesce(lag(c) OVER x, false) AS was, coalesce(lead(c) OVER x, false) AS next
-                 FROM tried WINDOW x AS (PARTITION BY w, every ORDER BY p)),
-        moved AS (SELECT n + 1 AS n, w, p, every, m, was, next, t2 AS right_t, CASE WHEN was THEN m ELSE t END AS t,
-                         CASE WHEN next THEN m ELSE t2 END AS t2 FROM near WHERE NOT c),
-        ranked AS (SELECT v.*, a.k AS k, CASE WHEN v.was THEN b.k END AS k_mid FROM moved v
-                   LEFT JOIN merges a ON a.pair = (v.t << 16) | v.t2
-                   LEFT JOIN merges b ON b.pair = (v.m << 16) | v.right_t),
-        odd AS (SELECT w, bool_or(coalesce((was OR next) AND k < m, false) OR coalesce(k_mid < m, false)) AS odd
-                FROM ranked WHERE every GROUP BY w)
-   SELECT r.n, r.w, r.p, r.t, r.t2, r.k FROM ranked r JOIN odd o USING (w) WHERE r.every <> o.odd)
-)
-SELECT s.w, s.t FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.w, s.p
+SELECT s.w, s.p, s.p2, s.t, s.t2, s.k FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) ORDER BY s.w, s.p
 """
 
 #: The one thread of the connection aggregates rows in the order in which the sort gives them.
@@ -106,6 +85,10 @@ class Codec:
         ]
         #: Ids (unsigned 16-bit) of whole vocabulary entries, and of up to DONE pieces met before in this process.
         self.done = {w: k.to_bytes(2, "little") for w, k in self.ranks.items()}
+        #: Ids of windows of long pieces; a window that is a vocabulary entry goes through the merges like any other.
+        self.windows: dict[bytes, bytes] = {}
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m0", pa.table({"pair": [p for p, _ in pairs], "k": [k for _, k in pairs]}))
@@ -122,37 +105,68 @@ class Codec:
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each piece: how many, all ids one after another)."""
         done = [self.done.get(x) for x in pieces]
-        open_ = [i for i, k in enumerate(done) if k is None]
-        sizes = np.fromiter((len(k) >> 1 if k else 0 for k in done), np.int64, len(done))
-        blocks: list[tuple[str, list[int]]] = []
-        short = [i for i in open_ if len(pieces[i]) <= LONG]
-        blocks += [(_SHORT_SQL, short[a : a + PIECES]) for a in range(0, len(short), PIECES)]
-        rows, block = 0, []
-        for i in open_:
-            if len(pieces[i]) > LONG:
-                block.append(i)
-                rows += len(pieces[i])
-                if rows > LONG_ROWS:
-                    blocks.append((_LONG_SQL, block))
-                    rows, block = 0, []
-        if block:
-            blocks.append((_LONG_SQL, block))
-        for sql, index in blocks:
-            self.db.register("start", self._rows([pieces[i] for i in index]))
-            out = self.db.sql(sql).to_arrow_table()
-            n = np.bincount(out["w"].to_numpy(), minlength=len(index))
-            raw, ends = out["t"].to_numpy().astype(np.uint16).tobytes(), (2 * np.cumsum(n)).tolist()
-            sizes[index] = n
-            for i, a, b in zip(index, [0, *ends], ends):
-                done[i] = raw[a:b]
-                if len(self.done) < DONE and len(pieces[i]) <= LONG:
-                    self.done[pieces[i]] = raw[a:b]
+        short = [i for i, k in enumerate(done) if k is None and len(pieces[i]) <= LONG]
+        for i, raw in zip(short, self._contracted([pieces[i] for i in short])):
+            done[i] = raw
+            if len(self.done) < DONE:
+                self.done[pieces[i]] = raw
+        group, size = [], 0
+        for i in [i for i, k in enumerate(done) if k is None]:
+            if group and size + len(pieces[i]) > GROUP_BYTES:
+                self._stitch(pieces, group, done)
+                group, size = [], 0
+            group.append(i)
+            size += len(pieces[i])
+        if group:
+            self._stitch(pieces, group, done)
+        sizes = np.fromiter((len(k) >> 1 for k in done), np.int64, len(done))
         return sizes, np.frombuffer(b"".join(done), np.uint16)
 
+    def _stitch(self, pieces: list[bytes], group: list[int], done: list) -> None:
+        if len(group) > 1:  # their windows share a query
+            self._windows([w for i in group for w in windows_of(pieces[i])])
+        for i in group:
+            done[i] = stitched(pieces[i], self._windows, self.sizes).tobytes()
+
+    def _windows(self, windows: list[bytes]) -> list[np.ndarray]:
+        new = [w for w in dict.fromkeys(windows) if w not in self.windows]
+        if len(self.windows) + len(new) > WINDOWS:
+            self.windows.clear()
+            new = list(dict.fromkeys(windows))
+        self.windows.update(zip(new, self._contracted(new)))
+        return [np.frombuffer(self.windows[w], np.uint16) for w in windows]
+
+    def _contracted(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, by the merges alone."""
+        out: list[bytes] = [b""] * len(pieces)
+        block, rows = [], 0
+        for i, x in enumerate(pieces):
+            if block and rows + len(x) > START_ROWS:
+                self._contract(pieces, block, out)
+                block, rows = [], 0
+            block.append(i)
+            rows += len(x)
+        if block:
+            self._contract(pieces, block, out)
+        return out
+
+    def _contract(self, pieces: list[bytes], index: list[int], out: list[bytes]) -> None:
+        rows = self._rows([pieces[i] for i in index])
+        while rows.num_rows:
+            self.db.register("start", rows)
+            got = self.db.sql(_STEP_SQL.format(rounds=max(1, STEP_ROWS // rows.num_rows))).to_arrow_table()
+            w = got["w"].to_numpy()
+            opens = np.zeros(len(index), bool)
+            opens[w[np.asarray(got["k"].is_valid())]] = True
+            goes_on = opens[w]
+            raw = got["t"].to_numpy().astype(np.uint16).tobytes()
+            ends = 2 * np.searchsorted(w, np.arange(len(index) + 1))
+            for j in np.flatnonzero(~opens & (np.diff(ends) > 0)).tolist():
+                out[index[j]] = raw[ends[j] : ends[j + 1]]
+            rows = got.select(["w", "p", "p2", "t", "t2"]).filter(pa.array(goes_on))
+
     def _rows(self, pieces: list[bytes]) -> pa.Table:
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        if int(lens.max()) >= _NO_POS:
-            raise ValueError("a piece of 8 MiB or more without a break")
         t = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         w = np.repeat(np.arange(len(pieces)), lens)
         p = np.arange(len(t)) - (np.cumsum(lens) - lens)[w]
@@ -215,35 +229,37 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, text: str, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Adds the token ids of each whole text as an int list."""
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    fields = [f.name for f in df.schema.fields]
+    """Adds the token ids of each whole text as an int list; ``ids`` may replace any column, ``text`` too."""
+    kept = without(df.columns, ids)
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    at = position(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                lens, out = codec(ranks_path, pattern).encode(texts_of(part, text))
+            for part in slices(batch, at):
+                lens, out = codec(ranks_path, pattern).encode(texts_of(part, at))
                 offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*fields, ids])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), column], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids: str, ranks_path: str, pattern: str, out: str = "decoded") -> DataFrame:
     """Adds the bytes that each row's ids stand for (null ids: null)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType(), True)])
-    fields = [f.name for f in df.schema.fields]
+    kept = without(df.columns, out)
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, T.BinaryType(), True)])
+    at = position(df, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded(codec(ranks_path, pattern), column)], [*fields, out])
+            back = decoded(codec(ranks_path, pattern), batch.column(at))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), back], schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-#: Ids for each decoding query; a longer document is a query by itself.
+#: Ids for each decoding query.
 DECODE_ROWS = 500_000
 
 
@@ -251,18 +267,15 @@ def decoded(code: Codec, column: pa.Array) -> pa.Array:
     """The bytes of each list of ids; null for a null list."""
     lens = np.asarray(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)
     flat = np.asarray(column.flatten(), dtype=np.int32)
-    out: list[bytes | None] = [b"" if ok else None for ok in np.asarray(column.is_valid())]
-    ends = np.cumsum(lens)
-    block = (ends - lens) // DECODE_ROWS
-    for k in np.unique(block[lens > 0]):
-        rows = np.flatnonzero((block == k) & (lens > 0))
-        a, b = ends[rows[0]] - lens[rows[0]], ends[rows[-1]]
-        d = np.repeat(rows.astype(np.int32), lens[rows])
-        code.db.register("ids", pa.table({"d": d, "p": np.arange(b - a, dtype=np.int64), "id": flat[a:b]}))
+    out: list[list[bytes] | None] = [[] if ok else None for ok in np.asarray(column.is_valid())]
+    d = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    for at in range(0, len(flat), DECODE_ROWS):
+        ids = flat[at : at + DECODE_ROWS]
+        code.db.register("ids", pa.table({"d": d[at : at + DECODE_ROWS], "p": np.arange(len(ids), dtype=np.int64), "id": ids}))
         got = code.db.sql(_DECODE_SQL).to_arrow_table()
         for i, s in zip(got["d"].to_pylist(), got["s"].to_pylist()):
-            out[i] = s.encode("latin-1")
-    return pa.array(out, pa.binary())
+            out[i].append(s.encode("latin-1"))
+    return pa.array([x if x is None else b"".join(x) for x in out], pa.binary())
 
 
 def digests(df: DataFrame, text: str, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:

@@ -375,3 +375,88 @@ def test_items_of_under_five_words_are_found(spark):
     got = sorted(pairs(decontam.hits(rows, items), "doc_id", "item_id", "n_item", "n_common", "containment"))
     assert got == [(0, 1, 1, 1, 1.0), (0, 5, 1, 1, 1.0), (4, 3, 1, 1, 1.0), (6, 2, 1, 1, 1.0), (9, 2, 1, 1, 1.0), (9, 6, 26, 26, 1.0)]
     assert sorted(pairs(decontam.clean(rows, items), "doc_id")) == [(1,), (2,), (3,), (5,), (7,), (8,)]
+
+
+def test_bpe_of_long_pieces():
+    import pyarrow as pa
+
+    rng, enc = np.random.default_rng(8), tiktoken_encoding()
+    texts = ["x" * 1_000_000, "abcdefghij" * 100_000, "-" * 200_001, "ABC" * 40_001, " " * 100_001 + "a", "ha" * 70_001 + "!" * 999, "日本語のテキスト" * 9_000]
+    texts += ["".join(rng.choice(["a", "th", "in", "er", "the", "ing"], n)) for n in (20_000, 70, 65, 64, 33)] + ["".join(rng.choice(list("!#$=-_*."), 3000)) for _ in range(5)]
+    lens, ids = bpe.codec(RANKS, P.PATTERN).encode(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(lens)
+    assert all(ids[e - n : e].tolist() == enc.encode_ordinary(t) for e, n, t in zip(ends, lens, texts))
+
+
+@pytest.mark.parametrize("length", [4, 8, 16])
+def test_windows_join_to_the_whole(length):
+    from terrafold.llm.stitch import stitched
+
+    code, rng = bpe.codec(RANKS, P.PATTERN), np.random.default_rng(length)
+    encode = lambda windows: [np.frombuffer(x, np.uint16) for x in code._contracted(windows)]
+    for alphabet in ("ab", "the r", "-=", "xX1"):
+        piece = "".join(rng.choice(list(alphabet), 400)).encode() + alphabet[:1].encode() * 300
+        assert stitched(piece, encode, code.sizes, length).tolist() == encode([piece])[0].tolist()
+
+
+def test_few_rounds_a_query_give_the_same_ids(monkeypatch):
+    code = bpe.Codec(RANKS, P.PATTERN)
+    words = [w.encode() for w in (LONG + " unquestionably antidisestablishmentarian").split()[-400:]]
+    want = code._contracted(words)
+    monkeypatch.setattr(bpe, "STEP_ROWS", 1)
+    assert code._contracted(words) == want
+
+
+def test_long_documents_decode_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    code = bpe.codec(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "DECODE_ROWS", 7)
+    lens, ids = code.encode(pa.array(["a few words to decode " * 9, "", "é" * 20], pa.large_string()))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32)), pa.array(ids.astype(np.int32)))
+    assert [x.decode() for x in bpe.decoded(code, lists).to_pylist()] == ["a few words to decode " * 9, "", "é" * 20]
+
+
+def test_added_columns_replace_columns_of_their_name(spark):
+    rows = spark.createDataFrame([("one two", 5, "q")], "text string, IDS int, decoded string")
+    got = bpe.decode(bpe.encode(rows, "text", RANKS, P.PATTERN), "ids", RANKS, P.PATTERN)
+    assert got.columns == ["text", "ids", "decoded"] and bytes(got.first()["decoded"]) == b"one two"
+
+
+def test_token_words_equal_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(P.path("word_bpe_49k.json")), np.random.default_rng(4)
+    parts = [*"abzKIS'.,!?<|>09 ", "<|endoftext|>", "'s", "'t", "é", "É", "H̱", "İ", "ſ", "ß", "Σ", "日", "́", "\t", "\r", "\xa0", "…", "J̌", "½", "K", "don't", "Word.", "WORD", " ", " "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(4000)]
+    lens, ids = tokenfile.encode_words(P.path("word_bpe_49k.json"), pa.array(texts, pa.large_string()))
+    ends = np.cumsum(lens)
+    assert all(ids[e - n : e].tolist() == tok.encode(t, add_special_tokens=False).ids for e, n, t in zip(ends, lens, texts))
+
+
+def test_token_files_have_set_row_groups_encodings_and_page_indexes(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(tokenfile.OPTIONS, "parquet.block.size", "60000")
+    monkeypatch.setitem(tokenfile.OPTIONS, "parquet.page.size", "2000")
+    path = str(tmp_path / "t")
+    docs = spark.createDataFrame([(i, prose(60, i)) for i in range(3000)], "doc_id long, text string")
+    tokenfile.write(docs, path, P.path("word_bpe_49k.json"), 2, n_files=1)
+    (file,) = [x for x in (tmp_path / "t").iterdir() if x.suffix == ".parquet"]
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 3
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            column = meta.row_group(g).column(c)
+            assert column.has_column_index and column.has_offset_index
+            if column.path_in_schema.startswith("ids"):
+                assert "RLE_DICTIONARY" in column.encodings or "DELTA_BINARY_PACKED" in column.encodings
+            if column.path_in_schema == "local_start":
+                assert "DELTA_BINARY_PACKED" in column.encodings or "RLE_DICTIONARY" in column.encodings
+    # A filter by id reads a row group or a few, and counts are read without the ids
+    bounds = [(s.min, s.max) for g in range(meta.num_row_groups) for s in [meta.row_group(g).column(0).statistics]]
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    assert pq.read_table(path, columns=["doc_id", "ids"], filters=[("doc_id", "=", 1234)]).num_rows == 1
+    plan = spark.read.parquet(path).filter("doc_id = 1234").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,1234)" in plan and "ids" not in plan[plan.index("ReadSchema") :]
