@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Study types, in the order in which a later rule overrides an earlier one
 REGIMES = (
     ("^(NP|)$", "NOT_POPULATED"),
-    ("FLOOD RISK", "FLOOD_RISK"),
+    ("FLOOD RISK", "BLE_RISKCLASS"),
     ("REDELINEATION", "REDELINEATION"),
     ("DIGITAL CONVERSION", "DIGITAL_CONVERSION"),
     ("WITHOUT BFE|UNPUBLISHED BFE", "NO_BFE"),
@@ -21,17 +21,24 @@ REGIMES = (
 FLOOD_CODES = {"None": 0, "Very rare": 1, "Rare": 2, "Occasional": 3, "Frequent": 4, "Very frequent": 5}
 # Land cover classes
 LAND_COVER = {
-    11: "Open water", 21: "Developed, open space", 22: "Developed, low intensity", 23: "Developed, medium intensity", 24: "Developed, high intensity",
-    31: "Barren land", 41: "Deciduous forest", 42: "Evergreen forest", 43: "Mixed forest", 52: "Shrub/scrub", 71: "Grassland/herbaceous",
-    81: "Pasture/hay", 82: "Cultivated crops", 90: "Woody wetlands", 95: "Emergent herbaceous wetlands",
+    11: "Open Water", 12: "Perennial Ice/Snow", 21: "Developed, Open Space", 22: "Developed, Low Intensity", 23: "Developed, Medium Intensity",
+    24: "Developed, High Intensity", 31: "Barren Land (Rock/Sand/Clay)", 41: "Deciduous Forest", 42: "Evergreen Forest", 43: "Mixed Forest", 52: "Shrub/Scrub",
+    71: "Grassland/Herbaceous", 81: "Pasture/Hay", 82: "Cultivated Crops", 90: "Woody Wetlands", 95: "Emergent Herbaceous Wetlands",
 }
 SENTINEL = -9999.0
+# White space, Unicode's and the separators of ASCII
+SPACE = "[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x85]"
 WATER_UNIT = "^(Waters?|Dredge channel)\\b"
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def study_regime(study: Column) -> Column:
     """The regime of a study type; of several rules that hold, the last counts."""
-    text = F.upper(F.trim(F.coalesce(study, F.lit(""))))
+    text = F.upper(trimmed(F.coalesce(study, F.lit(""))))
     first, *rest = reversed(REGIMES)
     out = F.when(text.rlike(first[0]), first[1])
     for pattern, name in rest:
@@ -92,7 +99,7 @@ def one_hot(column: str, levels: list[int]) -> dict[str, Column]:
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def class_name(code: Column) -> Column:

@@ -106,11 +106,11 @@ def union_first_unit(spark, sf_dir):
 
 
 @register("J20_P06_raster_lookup", PT + """,
-r AS (SELECT CAST(p_partkey % 40 AS BIGINT) AS col, CAST(p_partkey // 40 AS BIGINT) AS row, p_size % 4 * 11 AS cls FROM part WHERE p_partkey < 1600)
+r AS (SELECT CAST(p_partkey % 40 AS BIGINT) AS col, CAST(p_partkey // 40 AS BIGINT) AS row, p_size % 4 * 11 AS cls FROM part)
 SELECT pid, coalesce(cls, 0) AS cls, coalesce(cls, 0) NOT IN (0, 11) AS land FROM pts LEFT JOIN r ON CAST(floor(x / 10000.0) AS BIGINT) = col AND CAST(floor(y / 10000.0) AS BIGINT) = row""")
 def raster_lookup(spark, sf_dir):
     """Class of the pixel under each point, 0 off the raster, by a computed key."""
-    r = table(spark, sf_dir, "part").filter("p_partkey < 1600").selectExpr("p_partkey % 40 AS col", "p_partkey div 40 AS row", "p_size % 4 * 11 AS cls")
+    r = table(spark, sf_dir, "part").selectExpr("p_partkey % 40 AS col", "p_partkey div 40 AS row", "p_size % 4 * 11 AS cls")
     p = view(spark, sf_dir, "pts").select("pid", F.floor(F.col("x") / 10000).alias("col"), F.floor(F.col("y") / 10000).alias("row"))
     cls = F.coalesce("cls", F.lit(0))
     return p.join(r, ["col", "row"], "left").select("pid", cls.alias("cls"), (~cls.isin(0, 11)).alias("land"))

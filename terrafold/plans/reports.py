@@ -62,10 +62,10 @@ def split_scan(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
 
 
-@register("S18_feature_list", "SELECT unnest([0, 1, 2])::INTEGER AS pos, unnest(['slope', 'hand', 'landcover']) AS name")
+@register("S18_feature_list", "SELECT unnest([0, 1, 2, 3])::INTEGER AS pos, unnest(['slope', 'hand#m', '#x', 'landcover']) AS name")
 def features(spark, sf_dir):
     path = shared_dir(spark, "features") + ".txt"
-    writers.write_text(spark, path, "# numeric\nslope hand  # metres\n\nlandcover\n")
+    writers.write_text(spark, path, "# numeric\nslope hand#m\n  #x\n\nlandcover\n")
     return spark.createDataFrame(list(enumerate(readers.feature_list(spark, path))), "pos int, name string")
 
 

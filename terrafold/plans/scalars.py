@@ -13,10 +13,10 @@ PT = with_views("pts")
 
 @register("F01_study_regime", """
 SELECT p_partkey, CASE WHEN t LIKE '%BLE AVAILABLE%' THEN 'BLE_UNPUBLISHED' WHEN t LIKE '%WITH BFE%' THEN 'BFE_DETAIL' WHEN t LIKE '%WITHOUT BFE%' OR t LIKE '%UNPUBLISHED BFE%' THEN 'NO_BFE'
-  WHEN t LIKE '%DIGITAL CONVERSION%' THEN 'DIGITAL_CONVERSION' WHEN t LIKE '%REDELINEATION%' THEN 'REDELINEATION' WHEN t LIKE '%FLOOD RISK%' THEN 'FLOOD_RISK' WHEN t IN ('NP', '') THEN 'NOT_POPULATED' ELSE 'OTHER' END AS regime
-FROM (SELECT p_partkey, upper(trim(CASE p_size % 10 WHEN 0 THEN 'np ' WHEN 1 THEN '' WHEN 2 THEN 'Redelineation with bfe' WHEN 3 THEN 'without BFE' WHEN 4 THEN 'Flood Risk, BLE available' WHEN 5 THEN 'unpublished bfe' WHEN 6 THEN 'digital conversion' WHEN 7 THEN 'flood risk' ELSE p_type END)) AS t FROM part)""")
+  WHEN t LIKE '%DIGITAL CONVERSION%' THEN 'DIGITAL_CONVERSION' WHEN t LIKE '%REDELINEATION%' THEN 'REDELINEATION' WHEN t LIKE '%FLOOD RISK%' THEN 'BLE_RISKCLASS' WHEN t IN ('NP', '') THEN 'NOT_POPULATED' ELSE 'OTHER' END AS regime
+FROM (SELECT p_partkey, upper(regexp_replace(CASE p_size % 10 WHEN 0 THEN 'np ' WHEN 1 THEN '' WHEN 2 THEN 'Redelineation with bfe' WHEN 3 THEN 'without BFE' WHEN 4 THEN 'Flood Risk, BLE available' WHEN 5 THEN 'unpublished bfe' WHEN 6 THEN 'digital conversion' WHEN 7 THEN 'flood risk' ELSE chr(9) || p_type || chr(10) END, '^\\s+|\\s+$', '', 'g')) AS t FROM part)""")
 def study_regime(spark, sf_dir):
-    study = "CASE p_size % 10 WHEN 0 THEN 'np ' WHEN 1 THEN '' WHEN 2 THEN 'Redelineation with bfe' WHEN 3 THEN 'without BFE' WHEN 4 THEN 'Flood Risk, BLE available' WHEN 5 THEN 'unpublished bfe' WHEN 6 THEN 'digital conversion' WHEN 7 THEN 'flood risk' ELSE p_type END"
+    study = "CASE p_size % 10 WHEN 0 THEN 'np ' WHEN 1 THEN '' WHEN 2 THEN 'Redelineation with bfe' WHEN 3 THEN 'without BFE' WHEN 4 THEN 'Flood Risk, BLE available' WHEN 5 THEN 'unpublished bfe' WHEN 6 THEN 'digital conversion' WHEN 7 THEN 'flood risk' ELSE '\\t' || p_type || '\\n' END"
     return table(spark, sf_dir, "part").select("p_partkey", S.study_regime(F.expr(study)).alias("regime"))
 
 
@@ -78,14 +78,17 @@ def one_hot(spark, sf_dir):
     return long.filter("share >= 0.01").withColumn("share", F.round("share", 6))
 
 
-@register("F20_slug", "SELECT p_partkey, regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g') AS slug FROM part")
+@register("F20_slug", "SELECT p_partkey, trim(regexp_replace(lower('(' || p_name || ' / ' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
 def slug(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.slug(F.concat(F.lit("("), "p_name", F.lit(" / "), "p_brand", F.lit(")"))).alias("slug"))
 
 
-@register("F21_class_names", "SELECT p_partkey, CASE p_size WHEN 11 THEN 'Open water' WHEN 42 THEN 'Evergreen forest' WHEN 31 THEN 'Barren land' WHEN 21 THEN 'Developed, open space' WHEN 22 THEN 'Developed, low intensity' WHEN 23 THEN 'Developed, medium intensity' WHEN 24 THEN 'Developed, high intensity' WHEN 41 THEN 'Deciduous forest' WHEN 43 THEN 'Mixed forest' ELSE '' END AS name FROM part")
+@register("F21_class_names", """
+SELECT p_partkey, coalesce(name, '') AS name FROM part LEFT JOIN (VALUES (11, 'Open Water'), (12, 'Perennial Ice/Snow'), (21, 'Developed, Open Space'), (22, 'Developed, Low Intensity'),
+  (23, 'Developed, Medium Intensity'), (24, 'Developed, High Intensity'), (31, 'Barren Land (Rock/Sand/Clay)'), (41, 'Deciduous Forest'), (42, 'Evergreen Forest'), (43, 'Mixed Forest'),
+  (52, 'Shrub/Scrub'), (71, 'Grassland/Herbaceous'), (81, 'Pasture/Hay'), (82, 'Cultivated Crops'), (90, 'Woody Wetlands'), (95, 'Emergent Herbaceous Wetlands')) c(code, name) ON code = 10 + p_partkey % 90""")
 def class_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", S.class_name(F.col("p_size")).alias("name"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.class_name((10 + F.col("p_partkey") % 90).cast("int")).alias("name"))
 
 
 @register("F23_sigmoid", "SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS v, round(1 / (1 + exp(c_acctbal / 1000)), 6) AS c FROM customer")

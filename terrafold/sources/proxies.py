@@ -24,8 +24,8 @@ FROM lineitem GROUP BY l_suppkey % 40, l_orderkey"""
 BOXES = """
 SELECT p_partkey AS poly, (p_partkey * 7919) % 480000 AS x0, (p_partkey * 104729) % 480000 AS y0,
        (p_partkey * 7919) % 480000 + CAST(p_size AS BIGINT) * 400 AS x1, (p_partkey * 104729) % 480000 + CAST(p_size AS BIGINT) * 300 AS y1,
-       p_partkey % 7 AS dfirm, p_partkey % 20 = 0 AS tri
-FROM part WHERE p_partkey % 10 = 0"""
+       p_partkey % 7 AS dfirm, p_partkey % 2 = 0 AS tri
+FROM part"""
 POOL = """
 SELECT vec_id AS id, CAST(label AS BIGINT) AS class, vec_id % 5 AS tile, embedding AS z FROM embeddings"""
 CTE = {"pts": PTS, "scores": SCORES, "boxes": BOXES, "pool": POOL}

@@ -55,10 +55,10 @@ def pick(df: DataFrame, *candidates: str) -> str:
 
 
 def feature_list(spark: SparkSession, path: str) -> list[str]:
-    """Names in a text file, in order, without comments."""
+    """Names in a text file, in order; a line that begins with # is a comment, a # elsewhere is part of a name."""
     lines = spark.read.text(path, wholetext=True).first()
     text = lines[0] if lines else ""
-    return [w for line in text.splitlines() for w in line.split("#")[0].split()]
+    return [w for line in text.splitlines() if not line.startswith("#") for w in line.split()]
 
 
 def newest(cache: DataFrame, key: str, time: str = "mtime") -> DataFrame:

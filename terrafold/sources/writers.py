@@ -58,9 +58,14 @@ def export(df: DataFrame, path: str, by: str) -> dict[str, int]:
     return got
 
 
-def markdown(df: DataFrame, rows: int = 200) -> str:
-    """A small report table as Markdown."""
+#: Rows that a report table may have.
+REPORT_ROWS = 10_000
+
+
+def markdown(df: DataFrame, rows: int = REPORT_ROWS) -> str:
+    """A small report table as Markdown; a table of more than ``rows`` rows is refused, not cut."""
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    for r in df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).limit(rows).collect():
-        lines.append("| " + " | ".join(r) + " |")
-    return "\n".join(lines)
+    found = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"a report table of over {rows} rows")
+    return "\n".join([*lines, *("| " + " | ".join(r) + " |" for r in found)])
