@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables go in local mode if ``spark.checkpoint.dir`` is unset.
+LOCAL_DIR = "/tmp/checkpoints/terrafold"
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share.
 
-    It lies in the folder that the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode), under /tmp.
+    It lies in the folder that the session names in ``spark.checkpoint.dir``. Where that is unset, local
+    mode (as in tests) takes LOCAL_DIR, and a cluster is refused: its machines share no local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/terrafold"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = LOCAL_DIR
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -23,3 +38,24 @@ def settled(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: str | None = None) -> Iterator[None]:
+    """Deletes, at its end, the folders that shared_dir() has given inside it, but for ``keep``. What leaves it must
+    have been written."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            if path != keep:
+                removed(spark, path)
