@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.storage import settled, shared_dir  # noqa: F401
+from ..operators.storage import removed, scratch, settled, shared_dir  # noqa: F401
 
 #: Text bytes that one kernel call holds at once; a longer text is a slice by itself.
 SLICE_BYTES = 8 << 20
@@ -36,6 +37,19 @@ def free(names: list[str], name: str) -> str:
     return name
 
 
+#: Parts into which a salted join deals the rows of a key.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: list[str], how: str = "left", salts: int = SALTS) -> DataFrame:
+    """many join few, with the rows of a key of ``many`` dealt over ``salts`` tasks by a hash of the columns ``by`` and those
+    of ``few`` repeated for each."""
+    salt = free([*many.columns, *few.columns], "salt")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(F.lit(salts), *by), F.lit(salts)).cast("int"))
+    again = few.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return dealt.join(again, [*on, salt], how).drop(salt)
+
+
 def _at(batch: pa.RecordBatch, column: int | str) -> int:
     return column if isinstance(column, int) else batch.schema.get_field_index(column)
 

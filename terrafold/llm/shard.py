@@ -11,12 +11,12 @@ node seeded by its bounds, so a task draws its own row in log2(partitions) steps
 partitions' sizes alone (8 bytes a partition). Everything depends on the seed and on the
 scan's partitions only, so that a lost executor's tasks give the same rows again.
 
-Within a shard, rows are ordered by a random key over sub-ranges of the key; a slot is the
-number of the shard's rows in earlier sub-ranges plus the rank in its own. So no task sorts
-a whole shard, and slots have no gaps.
+A shard of more than RANGE_ROWS rows is dealt as several ranges, which are shards of the matrix like any other, of
+exact sizes. So the first slot of each range is known beforehand, no task sorts a whole shard, and one exchange of the
+rows gives slots without gaps; within a range, rows are ordered by a random key.
 
 Null texts count as empty; repeated rows and repeated or null ids are separate rows, each
-dealt by its place in the scan; an empty table gives no rows.
+dealt by its place in the scan; an empty table gives no rows. Columns of the added names are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows for each sub-range of a shard.
+from .columns import free, without
+
+#: Rows for each range of a shard.
 RANGE_ROWS = 500_000
+# Tags that keep the seeds of tree nodes and of partitions apart
+_TREE, _DEAL = 0, 1
 _NUMPY_LIMIT = 900_000_000
 
 
@@ -65,7 +69,7 @@ def matrix_row(ends: np.ndarray, shards: list[int], p: int, seed: int) -> list[i
     counts, a, b = shards, 0, len(ends) - 1
     while b - a > 1:
         mid = (a + b) // 2
-        left = split(np.random.default_rng([seed, a, b]), counts, int(ends[mid] - ends[a]))
+        left = split(np.random.default_rng([seed, _TREE, a, b]), counts, int(ends[mid] - ends[a]))
         if p < mid:
             counts, b = left, mid
         else:
@@ -84,12 +88,15 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, shard_col: str = "shard",
     total = sum(sizes.values())
     ends = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(n_parts)]))).astype(np.int64)
     shards = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    sent = spark.sparkContext.broadcast(ends)
     n_ranges = max(1, -(-shards[0] // RANGE_ROWS))
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField(shard_col, T.IntegerType(), False), T.StructField("__key", T.LongType(), False), T.StructField("__row", T.LongType(), False)]
-    )
-    source = df.withColumn("__p", F.spark_partition_id())
+    ranges = [x // n_ranges + (r < x % n_ranges) for x in shards for r in range(n_ranges)]
+    sent = spark.sparkContext.broadcast(ends)
+    kept = without(df.columns, shard_col, slot_col)
+    names = [df.columns[i] for i in kept]
+    extra = [free(names, f"__{x}") for x in ("range", "key", "row")]
+    added = [T.StructField(extra[0], T.IntegerType(), False), *(T.StructField(x, T.LongType(), False) for x in extra[1:])]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *added])
+    source = df.select(*names, F.spark_partition_id().alias(extra[0]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, rng, at, p = None, None, 0, 0
@@ -98,23 +105,20 @@ def shard(df: DataFrame, n_shards: int, seed: int = 7, shard_col: str = "shard",
                 continue
             if labels is None:
                 p = batch.column(batch.num_columns - 1)[0].as_py()
-                rng = np.random.default_rng([seed, 1, p])
-                labels = rng.permutation(np.repeat(np.arange(n_shards, dtype=np.int32), matrix_row(sent.value, shards, p, seed)))
+                rng = np.random.default_rng([seed, _DEAL, p])
+                labels = rng.permutation(np.repeat(np.arange(len(ranges), dtype=np.int32), matrix_row(sent.value, ranges, p, seed)))
             n = batch.num_rows
             own = [pa.array(labels[at : at + n]), pa.array(rng.integers(0, 1 << 62, n)), pa.array((np.int64(p) << 33) + np.arange(at, at + n))]
             at += n
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], schema.names)
 
-    dealt = source.mapInArrow(deal, schema).withColumn("__range", F.floor(F.col("__key") / ((1 << 62) / n_ranges)).cast("int"))
-    here = Window.partitionBy(shard_col, "__range").orderBy("__key", "__row")
-    ranked = dealt.withColumn("__rank", F.row_number().over(here).cast("long") - 1)
-    if n_ranges == 1:
-        return ranked.select(*df.columns, shard_col, F.col("__rank").alias(slot_col))
-    ranked = dealt.withColumn("__rank", F.row_number().over(here).cast("long") - 1)
-    counts = dealt.groupBy(shard_col, "__range").count()
-    before = Window.partitionBy(shard_col).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return ranked.join(offsets, [shard_col, "__range"]).select(*df.columns, shard_col, (F.col("__before") + F.col("__rank")).alias(slot_col))
+    here = Window.partitionBy(extra[0]).orderBy(*extra[1:])
+    at, of = F.col(extra[0]) % n_ranges, F.floor(F.col(extra[0]) / n_ranges).cast("int")
+    # The rows of a shard's earlier ranges: of its total // n_ranges rows each, and one more in the first few
+    rows = F.lit(total // n_shards) + (of < total % n_shards).cast("long")
+    first = at * F.floor(rows / n_ranges) + F.least(at, rows % n_ranges)
+    dealt = source.mapInArrow(deal, schema).withColumn("__slot", first + F.row_number().over(here) - 1)
+    return dealt.select(*names, of.alias(shard_col), F.col("__slot").cast("long").alias(slot_col))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
