@@ -6,9 +6,12 @@ node. Of the other pairs, those that agree in one of BANDS bands of ROWS least v
 candidates: at similarity 0.8 a pair escapes with a chance of (1 - 0.8^4)^24, about 0.000003.
 Candidates are linked only if the similarity of their sets, recomputed from the texts, is enough.
 
-In a band's bucket of up to BUCKET nodes all pairs are candidates. Nodes of a larger bucket are
-compared with its least node only, so rows grow linearly; as each band has its own buckets, a
-node meets other nodes in the others.
+In a band's bucket of up to BUCKET nodes all pairs are candidates. A larger bucket is searched until
+its links connect it as all its pairs would, without listing them. First, in up to STARS rounds, one node of the bucket (the
+least, then the one with the most links) is compared with all that aren't in its component yet; that
+ends buckets of copies of one text in a round or two. Buckets that still hold several components are
+dealt into chunks of about CHUNK nodes, and a task compares two chunks, but only nodes of different components. So
+rows grow with a bucket's nodes times its chunks, a task holds two chunks, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import settled, slices, texts_of
+from ..operators.graph import contracted
+from .columns import salted_join, settled, slices, texts_of
 
 BANDS, ROWS = 24, 4
-#: Nodes of a bucket up to which all pairs are compared.
+#: Nodes of a bucket up to which all pairs are listed.
 BUCKET = 64
+#: Rounds in which a larger bucket's nodes are compared with one of them; nodes of a chunk after that.
+STARS, CHUNK = 3, 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(7).integers(1 << 63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
@@ -88,21 +94,98 @@ def nodes(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     return docs.select(id_col, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def candidates(kinds: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that share a bucket."""
-    keyed = kinds.select("fp", F.posexplode("bands").alias("m", "v"))
-    shared = settled(keyed.groupBy("m", "v").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1"))
+def candidates(keyed: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, a < b, that share a bucket of up to BUCKET nodes."""
     pairs = shared.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
     some = keyed.join(shared.filter(f"n > 2 AND n <= {BUCKET}").select("m", "v"), ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("fps"))
     some = some.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).filter("a < b")
-    many = keyed.join(shared.filter(f"n > {BUCKET}").select("m", "v", "least"), ["m", "v"]).select(F.col("least").alias("a"), F.col("fp").alias("b")).filter("a < b")
-    return pairs.unionByName(some).unionByName(many).distinct()
+    return pairs.unionByName(some).distinct()
+
+
+def enough(p: np.ndarray, q: np.ndarray, similar: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``similar`` or more."""
+    if min(len(p), len(q)) < similar * max(len(p), len(q)) - 1e-9:
+        return False
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common >= similar * (len(p) + len(q) - common) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, stars: bool = False) -> DataFrame:
+    """The pairs (a, b) that are similar enough. With ``stars``, many pairs may have one a."""
+    right = sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+    left = sets.select(F.col("fp").alias("a"), F.col("own").alias("x"))
+    both = pairs.select("a", "b").join(right, "b")
+    if stars:
+        both = salted_join(both, left.join(pairs.select("a").distinct(), "a", "left_semi"), ["a"], ["b"], "inner")
+    else:
+        both = both.join(left, "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            keep = [enough(x[i].values.to_numpy(), y[i].values.to_numpy(), similar) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def chunk_links(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links between nodes of different components in the buckets of rest (m, v, fp, root)."""
+    chunks = rest.groupBy("m", "v").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"))
+    dealt = salted_join(rest, chunks, ["m", "v"], ["fp"], "inner").withColumn("c", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("k")).cast("int"))
+    dealt = dealt.join(sets, "fp").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("m", "v", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp", "root", "own")
+
+    def compare(t: pa.Table) -> pa.Table:
+        fps, chunk, owns = t["fp"].to_numpy(), t["c"].to_numpy(), [x.values.to_numpy() for x in t["own"].combine_chunks()]
+        _, part = np.unique(t["root"].to_numpy(), return_inverse=True)
+        same_chunk = t["i"][0] == t["j"][0]
+        sizes = np.array([len(x) for x in owns])
+        found: list[tuple[int, int]] = []
+        for i in range(len(fps)):
+            other = (part != part[i]) & (np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]) - 1e-9)
+            other &= (np.arange(len(fps)) > i) if same_chunk else (chunk > chunk[i])
+            for j in np.flatnonzero(other).tolist():
+                if part[i] != part[j] and enough(owns[i], owns[j], similar):
+                    found.append((int(min(fps[i], fps[j])), int(max(fps[i], fps[j]))))
+                    part[part == part[j]] = part[i]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.groupBy("m", "v", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def large_buckets(hot: DataFrame, linked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """linked, and the links that connect the buckets of hot (m, v, fp) as all their pairs would."""
+    pivots = settled(hot.groupBy("m", "v").agg(F.min("fp").alias("a")))
+    used, rest = pivots, hot.withColumn("root", F.col("fp"))
+    for turn in range(STARS):
+        own = rest.select("m", "v", F.col("fp").alias("a"), F.col("root").alias("own_root")).join(pivots, ["m", "v", "a"], "left_semi")
+        stars = salted_join(rest, own, ["m", "v"], ["fp"], "inner").filter("root <> own_root").select("a", F.col("fp").alias("b")).distinct()
+        linked = settled(linked.unionByName(verified(stars, sets, similar, stars=True)))
+        roots = contracted(linked)
+        now = rest.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        now = settled(now)
+        open_ = settled(now.groupBy("m", "v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("m", "v"))
+        rest = settled(salted_join(now, open_, ["m", "v"], ["fp"], "inner"))
+        if rest.isEmpty():
+            return linked
+        if turn < STARS - 1:
+            degree = linked.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("d"))
+            new = rest.join(used.withColumnRenamed("a", "fp"), ["m", "v", "fp"], "left_anti").join(degree, "fp", "left")
+            pivots = settled(new.groupBy("m", "v").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "fp")).alias("x")).select("m", "v", F.col("x.fp").alias("a")))
+            used = used.unionByName(pivots)
+    return linked.unionByName(chunk_links(rest, sets, similar))
 
 
 def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: float, width: int) -> DataFrame:
-    """The candidates (a, b) whose similarity is ``similar`` or more; own: nodes() of docs, written."""
-    found = settled(candidates(own.groupBy("fp").agg(F.first("bands").alias("bands"))))
-    wanted = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    """Links (a, b) of nodes whose similarity is ``similar`` or more, which connect the nodes as all such
+    pairs that share a bucket would; own: nodes() of docs, written."""
+    keyed = own.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.posexplode("bands").alias("m", "v"))
+    keyed = settled(keyed)
+    shared = settled(keyed.groupBy("m", "v").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1"))
+    found = settled(candidates(keyed, shared))
+    hot = settled(salted_join(keyed, shared.filter(f"n > {BUCKET}").select("m", "v"), ["m", "v"], ["fp"], "inner"))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct()
     # Rows that repeat an id bring other sets along; their digests tell which are wanted.
     ids = own.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("id"))).alias("x")).select("x.id").distinct()
     source = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi").select(F.col(text).alias("__text"))
@@ -116,19 +199,5 @@ def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in sets], np.uint64).view(np.int64)), values], ["fp", "own"])
 
     sets = settled(source.mapInArrow(run, "fp long, own array<long>").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
-    left = sets.select(F.col("fp").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
-    sized = found.join(left, "a").join(right, "b")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                if min(len(p), len(q)) >= similar * max(len(p), len(q)) - 1e-9:
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    keep[i] = common >= similar * (len(p) + len(q) - common) - 1e-9
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return sized.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    linked = settled(verified(found, sets, similar))
+    return linked if hot.isEmpty() else large_buckets(hot, linked, sets, similar)

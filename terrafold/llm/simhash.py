@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import contracted
 from . import near
-from .columns import settled, slices, texts_of
+from .columns import salted_join, settled, slices, texts_of
 
 #: Distinct fingerprints up to which a bucket's pairs are tested in place.
 BUCKET = 256
@@ -47,6 +47,15 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(_fingerprints([text], width)[0])
 
 
+#: Shingles that are turned into bits at once.
+SHINGLES = 200_000
+
+
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
 def _fingerprints(texts: list[str], width: int) -> np.ndarray:
     import xxhash
 
@@ -70,18 +79,24 @@ def _fingerprints(texts: list[str], width: int) -> np.ndarray:
         if not words:
             continue
         line = b" ".join(words)
-        n = len(words) - width + 1
-        if n <= 1:
+        n = max(1, len(words) - width + 1)
+        if n == 1:
             hashes.append(digest(line, 42))
-            n = 1
         else:
             sizes = np.fromiter(map(len, words), np.int64, len(words))
+            del words
             starts = np.cumsum(sizes + 1) - sizes - 1
-            ends = (starts + sizes)[width - 1 :].tolist()
-            hashes.extend([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends)])
+            starts, ends = starts[:n], (starts + sizes)[width - 1 :]
+            if n > SHINGLES:  # a long text by itself, in parts
+                ones = np.zeros(64, np.int64)
+                for at in range(0, n, SHINGLES):
+                    ones += _ones([digest(line[a:b], 42) for a, b in zip(starts[at : at + SHINGLES].tolist(), ends[at : at + SHINGLES].tolist())])
+                out[row] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+                continue
+            hashes.extend([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())])
         counts.append(n)
         rows.append(row)
-        if len(hashes) > 400_000:
+        if len(hashes) > SHINGLES:
             flush()
     flush()
     return out
@@ -173,8 +188,11 @@ def named(own: DataFrame, id_col: str, radius: int, linked: DataFrame | None = N
     kinds = settled(own.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     roots = contracted(links(kinds.select("fp"), radius) if linked is None else linked)
     rooted = kinds.join(roots, kinds.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = settled(rooted)
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    # A lone fingerprint names itself; only the others, which may be many in one component, meet their root.
+    alone = rooted.filter("fp = root").join(least.filter("n = 1"), "root").select("fp", "component_id")
+    return alone.unionByName(salted_join(rooted, least.filter("n > 1"), ["root"], ["fp"], "inner").select("fp", "component_id"))
 
 
 def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
