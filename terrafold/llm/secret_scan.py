@@ -6,8 +6,14 @@ test for a fixed substring, or for a run of the right length, spares most texts
 
 Ownership. A candidate's value is hashed; over the whole corpus, each hash is counted in
 distinct repositories and distinct owners (distinct pairs are reduced map-side before the
-exchange, so a value that a third of all rows hold is no hot group). A value that at least
-EXAMPLE_OWNERS owners hold is an example, copied from documentation; any other looks live.
+exchange, so a value that a third of all rows hold is no hot group). A value is an example, copied from
+documentation, if EXAMPLE_OWNERS owners or more hold it, or two owners do in EXAMPLE_REPOS repositories or more (a
+fork brings a second owner, a well-known example many repositories). Any other looks live, in however many
+repositories one owner has it.
+
+Verdicts. Spans of the base kinds are always reported; the further kinds are candidates, of which only live ones
+are added. Live values of all kinds are what a redaction masks. Only examples are joined with the spans, the rows of an
+example dealt over several tasks.
 
 A null or empty text has no spans. Null owners or repositories count as one of their own.
 Repeated rows are separate rows with equal spans. An empty table gives no rows.
@@ -18,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import settled
+from .columns import salted_join, settled
 
-#: Owners from which a value counts as an example.
-EXAMPLE_OWNERS = 3
+#: Owners from which a value counts as an example; repositories from which one of two owners does.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
 
 # Kinds in order; (pattern, group of the value, least length of that group, substrings of which one is needed)
 BASE_KINDS = {
@@ -78,15 +84,18 @@ def ownership(found: DataFrame, repo: str, owner: str, spans: str = "spans") ->
     held = found.select(F.struct(repo).alias("r"), F.struct(owner).alias("o"), F.explode(spans).alias("s")).select(F.sha2("s.value", 256).alias("hash"), "r", "o")
     repos = held.select("hash", "r").distinct().groupBy("hash").agg(F.count("*").alias("n_repos"))
     owners = held.select("hash", "o").distinct().groupBy("hash").agg(F.count("*").alias("n_owners"))
-    return repos.join(owners, "hash").withColumn("live", F.col("n_owners") < EXAMPLE_OWNERS)
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | ((F.col("n_owners") == 2) & (F.col("n_repos") >= EXAMPLE_REPOS))
+    return repos.join(owners, "hash").withColumn("live", ~example)
 
 
 def labelled(found: DataFrame, repo: str, owner: str, key: str) -> DataFrame:
-    """(key, live spans, counts) of the rows that have spans. found is a written table."""
-    verdicts = ownership(found, repo, owner)
+    """(key, spans with their verdict ``live``, counts) of the rows that have spans. found is a written table
+    whose key is unique."""
+    examples = ownership(found, repo, owner).filter("NOT live").select("hash", F.lit(True).alias("example"))
     each = found.select(key, F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    return each.join(verdicts, "hash").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("live"), F.struct("s.at", "s.stop")))).alias("live_spans"),
+    each = salted_join(each, examples, ["hash"], [key], "left").withColumn("live", F.col("example").isNull())
+    return each.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("s.at", "s.ord", "s.stop", "s.kind", "live"))).alias("judged"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
         F.sum((~F.col("live")).cast("long")).alias("n_example"),
     )
@@ -97,17 +106,18 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """Counts by base kind, digest of the base spans, all spans, and live and example counts of every row."""
+    """Counts by base kind, digest of the base spans, the base spans and the live ones of further kinds, and live and
+    example counts of every row."""
     columns = dict.fromkeys([id_col, repo, owner])
     found = settled(with_spans(docs, text).select(*columns, "spans").withColumn("__row", F.monotonically_increasing_id()))
-    marked = labelled(found, repo, owner, "__row").select("__row", "n_live", "n_example")
+    marked = labelled(found, repo, owner, "__row")
     base = F.filter("spans", lambda s: s["ord"] < len(BASE_KINDS))
     count = lambda i: F.size(F.filter("spans", lambda s: s["ord"] == i)).cast("long")
     return found.join(marked, "__row", "left").select(
         F.col(id_col),
         *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)],
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.col("spans")).alias("spans"),
+        F.coalesce(_joined(F.filter("judged", lambda s: (s["ord"] < len(BASE_KINDS)) | s["live"])), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
@@ -117,7 +127,7 @@ def redacted(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: s
     """docs with live spans replaced by the mask; examples and all other text stay."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__text"), F.col(repo).alias("__repo"), F.col(owner).alias("__owner"))
     found = settled(with_spans(packed, "__text").withColumn("__row", F.monotonically_increasing_id()))
-    live = labelled(found, "__repo", "__owner", "__row").filter("n_live > 0").select("__row", "live_spans")
+    live = labelled(found, "__repo", "__owner", "__row").filter("n_live > 0").select("__row", F.filter("judged", lambda s: s["live"]).alias("live_spans"))
     whole = F.col("__text")
 
     def step(state: Column, s: Column) -> Column:
