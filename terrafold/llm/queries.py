@@ -45,7 +45,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.history(table(spark, sf_dir, "documents"))
+    counters = {"byte_bpe_50k": rollup.byte_bpe(public_tokenizers.path(RANKS), public_tokenizers.PATTERN), "word_bpe_49k": rollup.word_bpe(public_tokenizers.path(WORDS))}
+    return rollup.history(table(spark, sf_dir, "documents"), counters)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": quality.SQL, "op7_token_counts": rollup.SQL}
+    return {"op6_quality": quality.SQL}
