@@ -3,22 +3,23 @@
 An item is found in a document if at least ``threshold`` of its distinct 5-word shingles are
 among the document's, however long the document is.
 
-Index. Items are partitioned by size (powers of two of their shingle counts); the MinHash
-sketch of an item with n shingles is the floor((1 - threshold) * n) + 1 least values of one
+Index. Items are partitioned by size (powers of two of their shingle counts), and each partition has an
+index of its own. The MinHash sketch of an item with n shingles is the floor((1 - threshold) * n) + 1 least values of one
 64-bit hash over its shingles. Whatever document holds ``threshold`` of the item misses fewer
 shingles than the sketch has, so at least one sketch value is among the document's hashes:
 fixed bands of a MinHash signature would lose short items inside long documents (their Jaccard
-similarity tends to zero), this search loses none. A document is compared with a size
-partition only if it has enough shingles for the partition's least item.
+similarity tends to zero), this search loses none.
 
-Search. Documents stay where they are: a task hashes its shingles and probes the sketches.
+Search. Documents stay where they are: a task hashes its shingles once, and each size partition is searched by itself,
+by the documents with enough shingles for its least item only, against the values of its sketches.
 Candidates are verified by exact containment of the shingles' words, not their hashes.
 Items go to the tasks in blocks of at most BLOCK_BYTES of text, each block a pass over the
 documents; so what is broadcast is bounded however many items there are.
 
 Words are runs without white space, in lower case, without the signs at their ends; runs
 of signs alone are no words. An item of under five words is one shingle of its own width and is
-found where its words stand in a row. Texts that are null or without words match nothing. Equal items, or documents, are separate rows; each matches by itself.
+found where its words stand in a row. Texts that are null or without words match nothing. Equal items, or documents, are
+separate rows; each matches by itself. Item ids may be of any type, and null. The found columns replace documents' columns of their names.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .columns import coded, slices, texts_of
+from .columns import coded, free, position, slices, texts_of, without
 
 #: Text bytes of the items that a block holds.
 BLOCK_BYTES = 16 << 20
@@ -88,16 +90,22 @@ def _index(items: list[tuple], threshold: float, width: int) -> dict:
         values.append(sketch)
         owners.append(np.full(len(sketch), len(kept)))
         kept.append((item_id, len(own), frozenset(own)))
-    values = np.concatenate(values) if values else np.array([], np.uint64)
-    owners = np.concatenate(owners) if owners else np.array([], np.int64)
-    order = np.argsort(values, kind="stable")
-    bitmap = np.zeros(1 << 20, bool)
-    bitmap[(values >> np.uint64(44)).astype(np.int64)] = True
+    # Size partitions: for each, the least shingles that a document needs, and its own sketch values with their items
     sizes = np.array([n for _, n, _ in kept], np.int64)
-    part = np.log2(np.maximum(sizes, 1)).astype(np.int64)
-    floor = np.array([int(np.ceil(threshold * sizes[part == p].min() - 1e-9)) for p in part], np.int64)
+    groups: dict[int, list[int]] = {}
+    for k, owner in enumerate(owners):
+        groups.setdefault(int(np.log2(sizes[owner[0]])), []).append(k)
+    partitions = []
+    for _, ks in sorted(groups.items()):
+        own_values, own_items = np.concatenate([values[k] for k in ks]), np.concatenate([owners[k] for k in ks])
+        order = np.argsort(own_values, kind="stable")
+        least = min(int(np.ceil(threshold * sizes[owners[k][0]] - 1e-9)) for k in ks)
+        partitions.append((least, own_values[order], own_items[order]))
+    bitmap = np.zeros(1 << 20, bool)  # of all partitions: most shingles fail it and are looked up in none
+    for _, own_values, _ in partitions:
+        bitmap[(own_values >> np.uint64(44)).astype(np.int64)] = True
     whole = {n: (np.unique(np.concatenate([_rolled(_word_hashes(x.split(" ")), n) for x in own])), own) for n, own in short.items()}
-    return {"items": kept, "values": values[order], "owners": owners[order], "bitmap": bitmap, "floor": floor, "short": whole}
+    return {"items": kept, "partitions": partitions, "bitmap": bitmap, "short": whole}
 
 
 def _matches(texts: pa.Array, index: dict, threshold: float, width: int) -> Iterator[tuple[int, int, int]]:
@@ -119,20 +127,23 @@ def _matches(texts: pa.Array, index: dict, threshold: float, width: int) -> Iter
                 for item in phrases.get(phrase, ()):
                     yield row, item, 1
     rolled = _rolled(hashes, width)
-    if not len(rolled) or not len(index["values"]):
+    if not len(rolled) or not index["partitions"]:
         return
     at = np.flatnonzero(index["bitmap"][(rolled >> np.uint64(44)).astype(np.int64)])
     at = at[rows[at] == rows[at + width - 1]]
-    low = np.searchsorted(index["values"], rolled[at], "left")
-    high = np.searchsorted(index["values"], rolled[at], "right")
-    hit = high > low
-    at, low, n = at[hit], low[hit], (high - low)[hit]
-    if not len(at):
-        return
-    owners = index["owners"][np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    pairs = np.unique(np.stack((np.repeat(rows[at], n), owners), 1), axis=0)
     sizes = np.bincount(rows, minlength=len(lens)) - width + 1
-    pairs = pairs[sizes[pairs[:, 0]] >= index["floor"][pairs[:, 1]]]
+    candidates = []
+    for least, values, items in index["partitions"]:
+        own = at[sizes[rows[at]] >= least]
+        low = np.searchsorted(values, rolled[own], "left")
+        n = np.searchsorted(values, rolled[own], "right") - low
+        own, low, n = own[n > 0], low[n > 0], n[n > 0]
+        if len(own):
+            owners = items[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            candidates.append(np.stack((np.repeat(rows[own], n), owners), 1))
+    if not candidates:
+        return
+    pairs = np.unique(np.concatenate(candidates), axis=0)
     starts = np.searchsorted(rows, np.arange(len(lens) + 1))
     last, own = -1, set()
     for row, item in pairs.tolist():
@@ -145,33 +156,42 @@ def _matches(texts: pa.Array, index: dict, threshold: float, width: int) -> Iter
             yield row, item, common
 
 
-def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """A row for each (document, item found in it): ``keep``, item_id, n_item, n_common, containment."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, item_id: str, item_text: str, threshold: float, width: int) -> Iterator:
+    """Broadcast indexes, each of about BLOCK_BYTES of items."""
     tests = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     size = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = -(-size // BLOCK_BYTES) or 1
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType(
-        [*(docs.schema[c] for c in keep), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("n_item", T.IntegerType()), T.StructField("n_common", T.IntegerType()), T.StructField("containment", T.DoubleType())]
-    )
+    n = -(-size // BLOCK_BYTES) or 1
+    for k in range(n):
+        block = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else tests
+        yield items.sparkSession.sparkContext.broadcast(_index([tuple(r) for r in block.collect()], threshold, width))
+
+
+FOUND = ("item_id", "n_item", "n_common", "containment")
+
+
+def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """A row for each (document, item found in it): ``keep``, item_id, n_item, n_common, containment."""
+    keep = [keep[i] for i in without(list(keep), *FOUND)]
+    source = docs.select(*keep, F.col(text).alias(free(keep, "__text")))
+    kind = items.schema[item_id].dataType
+    found_types = (T.StructField("item_id", kind), T.StructField("n_item", T.IntegerType()), T.StructField("n_common", T.IntegerType()), T.StructField("containment", T.DoubleType()))
+    schema = T.StructType([*(docs.schema[c] for c in keep), *found_types])
+    arrow = to_arrow_type(kind)
     out = None
-    for k in range(n_blocks):
-        block = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) if n_blocks > 1 else tests
-        sent = spark.sparkContext.broadcast(_index([tuple(r) for r in block.collect()], threshold, width))
+    for sent in _blocks(items, item_id, item_text, threshold, width):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for part in slices(batch, "__text"):
-                    found = list(_matches(texts_of(part, "__text"), index, threshold, width))
+                for part in slices(batch, len(keep)):
+                    found = list(_matches(texts_of(part, len(keep)), index, threshold, width))
                     if found:
                         taken = part.take(pa.array([row for row, _, _ in found]))
                         sizes = [index["items"][i][1] for _, i, _ in found]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 *taken.columns[:-1],
-                                pa.array([index["items"][i][0] for _, i, _ in found]),
+                                pa.array([index["items"][i][0] for _, i, _ in found], arrow),
                                 pa.array(sizes, pa.int32()),
                                 pa.array([c for _, _, c in found], pa.int32()),
                                 pa.array([c / n for (_, _, c), n in zip(found, sizes)], pa.float64()),
@@ -186,20 +206,14 @@ def hits(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",),
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
     """The documents in which no item is found, with all their columns; one pass per block, no shuffle."""
-    spark = docs.sparkSession
-    tests = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    size = tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = -(-size // BLOCK_BYTES) or 1
-    out = docs
-    for k in range(n_blocks):
-        block = tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) if n_blocks > 1 else tests
-        sent = spark.sparkContext.broadcast(_index([tuple(r) for r in block.collect()], threshold, width))
+    out, at = docs, position(docs, text)
+    for sent in _blocks(items, item_id, item_text, threshold, width):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, text):
+                for part in slices(batch, at):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[row for row, _, _ in _matches(texts_of(part, text), sent.value, threshold, width)]] = False
+                    keep[[row for row, _, _ in _matches(texts_of(part, at), sent.value, threshold, width)]] = False
                     yield part.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)
