@@ -8,8 +8,9 @@ language, its score the posterior probability under equal priors.
 
 Training counts words and n-grams of labelled documents in the tasks, and sums them by key.
 It may use a bounded sample: about ``max_docs`` documents, chosen by a hash of the id (all,
-where there are no more). The bound keeps the model's size independent of the corpus, so that
-it can be sent to every task. Prediction covers all rows and whole texts.
+where there are no more), and keeps the ``max_keys`` words and n-grams that occur most. These bounds keep the model's
+size independent of the corpus, so that it can be sent to every task. A run of over LONGEST_WORD characters without white
+space is no word to learn. Prediction covers all rows and whole texts.
 
 A null text or one without a letter gives ``und`` with score 0, as does an empty model. A
 text whose words say nothing gives the language with the most training words. Null languages
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import coded, slices, sums, texts_of
+from .columns import coded, settled, slices, sums, texts_of
 from .decontam import normal
 
 #: Labelled documents that a model is fitted on, about.
@@ -36,6 +37,8 @@ MAX_DOCS = 10_000
 #: Occurrences from which a word or n-gram is known.
 MIN_COUNT = 3
 LONGEST = 4
+#: Words and n-grams that a model holds at most, and characters of a word that is learned at most.
+MAX_KEYS, LONGEST_WORD = 1_000_000, 200
 _SCALE = 1 << 20
 
 
@@ -59,7 +62,7 @@ def counts(docs: DataFrame, text: str, lang: str, longest: int = LONGEST) -> Dat
                 total: Counter = Counter()
                 for pair, c in zip(pairs.tolist(), n.tolist()):
                     word = normal(raw[pair % len(raw)])
-                    if not any(map(str.isalpha, word)):
+                    if len(word) > LONGEST_WORD or not any(map(str.isalpha, word)):
                         continue
                     k = pair // len(raw)
                     total[0, word, k] += c
@@ -100,21 +103,28 @@ class Model:
         if known is not None:
             return known
         for n in range(self.longest, 0, -1):
-            table = self.tables.get(n, {})
-            found = [v for g in grams(word, n) if (v := table.get(g)) is not None]
-            if found:
-                return sum(found) / len(found)
+            table, marked = self.tables.get(n, {}), f"<{word}>" if n > 1 else word
+            total, known = np.zeros(len(self.langs)), 0
+            for i in range(len(marked) - n + 1):
+                if (v := table.get(marked[i : i + n])) is not None:
+                    total += v
+                    known += 1
+            if known:
+                return (total / known).astype(np.float32)
         return np.zeros(len(self.langs), np.float32)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, min_count: int = MIN_COUNT, longest: int = LONGEST) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, min_count: int = MIN_COUNT, longest: int = LONGEST, max_keys: int = MAX_KEYS) -> Model:
     """Fits a model on the rows of docs with a language, or on about max_docs of them."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = labelled.count()
     if n > max_docs:
         labelled = labelled.filter(F.pmod(F.xxhash64(id_col), F.lit(_SCALE)) < int(_SCALE * max_docs / n))
-    table = counts(labelled, text, lang, longest)
-    return Model([tuple(r) for r in table.filter(F.col("count") >= min_count).collect()])
+    table = settled(counts(labelled, text, lang, longest).filter(F.col("count") >= min_count))
+    if table.count() > max_keys:
+        most = table.groupBy("n", "key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "n", "key").limit(max_keys)
+        table = table.join(most.select("n", "key"), ["n", "key"], "left_semi")
+    return Model([tuple(r) for r in table.collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
