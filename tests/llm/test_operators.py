@@ -203,6 +203,25 @@ def test_secret_spans_equal_a_plain_search(docs, spark, none):
     assert secret_scan.report(none).count() == 0
 
 
+def test_further_kinds_are_added_if_only_their_owners_hold_them(spark):
+    values = {
+        "github": "ghp_" + "aB3" * 12, "slack": "xoxb-1234567890-abcDEF", "google": "AIza" + "Sy0" * 11 + "ab", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM",
+        "pem": "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIBOgIBAAJBAK" * 4,
+    }
+    rows = [(k, f"see {v} end", "en", "s1", 1, "", "") for k, v in enumerate(values.values())]
+    example = "ghp_" + "Zz9" * 12
+    rows += [(10 + k, f"see {example}", "en", f"s{k}", 1, "", "") for k in range(3)]  # three owners
+    two = "ghp_" + "Qq7" * 12
+    rows += [(100 + k, f"see {two}", "en", f"s{k % 2}", 1, "", "") for k in range(20)]  # two owners in twenty repositories
+    one = "ghp_" + "Ww5" * 12
+    rows += [(200 + k, f"see {one}", "en", "s1", 1, "", "") for k in range(30)]  # one owner in thirty
+    got = {d: (spans, live, example) for d, spans, live, example in pairs(secret_scan.report(spark.createDataFrame(rows, SCHEMA)), "doc_id", "spans", "n_live", "n_example")}
+    for k, (kind, v) in enumerate(values.items()):
+        assert f"{kind}:4:{4 + len(v) + (kind == 'pem') * 4}" in got[k][0].split(",") and got[k][1] >= 1, kind
+    assert all(got[10 + k] == ("", 0, 1) for k in range(3)) and all(got[100 + k] == ("", 0, 1) for k in range(20))
+    assert all(got[200 + k] == ("github:4:44", 1, 0) for k in range(30))
+
+
 def test_examples_stay_and_live_secrets_go(spark):
     rows = [(i, f"set token={'EXAMPLE0EXAMPLE0' if i < 3 else 'abc' + str(i) * 13} now", "en", f"s{i % 5}", 1, "x", "y") for i in range(5)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -243,9 +262,49 @@ def test_rollups_are_idempotent(docs, none, spark, tmp_path):
     store = f"file://{tmp_path}/s"
     assert rollup.commit(store, "1", rollup.changes(counts, "c", 1)) and not rollup.commit(store, "1", rollup.changes(counts, "c", 1))
     assert rollup.commit(store, "2", rollup.changes(counts.filter("c['w'] = 5"), "c", -1))
-    got = sorted(pairs(rollup.totals(spark, store, ["1", "2", "3"]), *rollup.KEYS, "n_docs", "n_tokens"), key=str)
-    assert got == sorted([("a", "en", "w", 1, 7), (None, None, "w", 1, 1)], key=str)
-    assert rollup.history(docs).count() > 0 and rollup.history(none).count() == 0
+    want = sorted([("a", "en", "w", 1, 7), (None, None, "w", 1, 1)], key=str)
+    assert sorted(pairs(rollup.totals(spark, store), *rollup.KEYS, "n_docs", "n_tokens"), key=str) == want
+    # Compaction keeps totals and batch ids, and a batch may come after it
+    assert rollup.compact(spark, store) and not rollup.compact(spark, store)
+    assert not rollup.commit(store, "1", rollup.changes(counts, "c", 1))
+    assert sorted(pairs(rollup.totals(spark, store), *rollup.KEYS, "n_docs", "n_tokens"), key=str) == want
+    assert rollup.commit(store, "3", rollup.changes(counts.filter("source IS NULL"), "c", -1)) and rollup.totals(spark, store).count() == 1
+
+
+def test_a_writer_that_comes_second_takes_the_next_entry(spark, tmp_path, monkeypatch):
+    counts = spark.createDataFrame([("a", "en", {"w": 5})], "source string, lang string, c map<string,long>")
+    store, real = f"file://{tmp_path}/s", rollup._append
+    taken = []
+
+    def slow(spark, path, number, entry):
+        if not taken:  # another writer commits first, the same batch or another
+            taken.append(1)
+            assert real(spark, path, number, {"batches": [other], "path": f"{path}/data/none"})
+        return real(spark, path, number, entry)
+
+    monkeypatch.setattr(rollup, "_append", slow)
+    other = "x"
+    assert rollup.commit(store, "y", rollup.changes(counts, "c", 1)) and sorted(rollup.entries(spark, store)) == [0, 1]
+    taken.clear()
+    other = "z"
+    assert not rollup.commit(store, "z", rollup.changes(counts, "c", 1)) and rollup.committed(rollup.entries(spark, store)) == {"x", "y", "z"}
+
+
+def test_rollup_totals_equal_brute_force(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    enc, tok = tiktoken_encoding(), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counters = {"b": rollup.byte_bpe(RANKS, P.PATTERN), "w": rollup.word_bpe(P.path("word_bpe_49k.json"))}
+    want = {}
+    for source, lang, text in pairs(docs, "source", "lang", "text"):
+        now = "\n".join(dict.fromkeys((text or "").split("\n")))
+        n = {"b": len(enc.encode_ordinary(now)), "w": len(tok.encode(now, add_special_tokens=False).ids)}
+        if n["b"] >= 50:
+            for t, k in n.items():
+                a, b = want.get((source, lang, t), (0, 0))
+                want[source, lang, t] = a + 1, b + k
+    got = {tuple(r[:3]): tuple(r[3:]) for r in pairs(rollup.history(docs, counters), *rollup.KEYS, "n_docs", "n_tokens")}
+    assert got == want and rollup.history(none, counters).count() == 0
 
 
 def test_containment_finds_items_whole_and_in_part(spark, docs, none):
@@ -330,7 +389,7 @@ def test_pages_without_an_article_on_a_mixed_host(spark):
     ],
 )
 def test_marks_drop_boilerplate_only(body):
-    assert template.main_text(body, set(), set()) == "Story"
+    assert template.main_text(body, template.own_template(body)) == "Story"
 
 
 def test_identical_pages_keep_their_text(spark):
@@ -460,3 +519,165 @@ def test_token_files_have_set_row_groups_encodings_and_page_indexes(spark, tmp_p
     assert pq.read_table(path, columns=["doc_id", "ids"], filters=[("doc_id", "=", 1234)]).num_rows == 1
     plan = spark.read.parquet(path).filter("doc_id = 1234").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,1234)" in plan and "ids" not in plan[plan.index("ReadSchema") :]
+
+
+def html_rows(spark, bodies, host="h.example"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+
+
+def test_templates_decide_what_is_extracted(spark):
+    links = "<ul><li><a href='/1'>Some old story %d</a></li><li><a href='/2'>Another one %d</a></li></ul>"
+    pages = html_rows(spark, [f"<body><p>Welcome to our site</p>{links % (i, i)}<div><h2>Title {i}</h2><p>Story {i} with <a>a link</a></p></div></body>" for i in range(2)])
+    got = dict(pairs(template.extract(pages), "page_id", "text"))
+    assert got == {i: f"Title {i}\nStory {i} with a link" for i in range(2)}
+    articles = html_rows(spark, [f"<body><p>Welcome</p><article><p>Story {i}</p></article></body>" for i in range(3)])
+    assert [t for (t,) in pairs(template.extract(articles), "text")] == ["Story 0", "Story 1", "Story 2"]
+    for rows in (pages, articles):
+        assert {t for (t,) in pairs(template.extract(rows, disabled=True), "text")} == {""}
+
+
+def test_near_copies_on_a_host_keep_their_text(spark):
+    same = "".join(f"<p>Paragraph {k}</p>" for k in range(8))
+    got = dict(pairs(template.extract(html_rows(spark, [f"<body>{same}<p>End {i}</p></body>" for i in range(2)])), "page_id", "text"))
+    assert got == {i: "\n".join([*(f"Paragraph {k}" for k in range(8)), f"End {i}"]) for i in range(2)}
+
+
+def test_equivalence_classes_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    parts = ["<div><p>a</p></div>", "<ul><li>x<li>y</ul>", "<section><h2>t</h2><p>u</p></section>", "<article><p>s</p></article>", "<div class='ad'><p>no</p></div>", "<table><tr><td>1</td></tr></table>"]
+    bodies = ["<html><body>" + "".join(rng.choice(parts, rng.integers(1, 6))) + "</body></html>" for _ in range(12)]
+    table = template.tokens(html_rows(spark, bodies), "page_id", "url", "html")
+    got = sorted((tuple(t), root) for t, root in pairs(template.classes(table), "tokens", "root"))
+    vectors, parents = {}, {}
+    for i, body in enumerate(bodies):
+        for token, parent, kind, n, *_ in template.page_tokens(template.Page(body)):
+            if kind in (1, 2):
+                vectors.setdefault(token, [0] * len(bodies))[i] = n
+                parents[token] = parent
+    groups = {}
+    for token, v in vectors.items():
+        root = v == [1] * len(bodies)
+        groups.setdefault((tuple(v), None if root else tuple(vectors.get(parents[token], ())), root), []).append(token)
+    assert got == sorted((tuple(sorted(t)), k[2]) for k, t in groups.items()) and len(got) > 4
+
+
+def test_deep_and_long_pages_cost_their_length(spark):
+    deep = "<div>" * 60_000 + "<p>Story</p>" + "</section>" * 60_000
+    long = "<body><article>" + "".join(f"<p>Paragraph {i}</p>" for i in range(60_000)) + "</article></body>"
+    got = dict(pairs(template.extract(html_rows(spark, [deep, long])), "page_id", "text"))
+    assert got[0] == "Story" and got[1].count("\n") == 59_999
+    assert template.extract(html_rows(spark, [deep]).withColumn("host", F.lit("own")).withColumn("slots", F.lit(1)), keep=("page_id", "host", "slots")).first()["host"] == "own"
+
+
+def test_sharding_by_brute_force(spark, docs, tmp_path):
+    docs.withColumn("shard", F.lit("own")).write.parquet(str(tmp_path / "d"))
+    rows = shard.sized(spark.read.parquet(str(tmp_path / "d")))
+    want = sorted((d is None, d or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in pairs(docs, "doc_id", "text"))
+    got = pairs(shard.shard(rows.withColumn("shard", F.lit("own")).withColumn("__key", F.lit("own")), 6), "doc_id", "size", "text_crc32", "shard", "slot", "__key")
+    assert sorted((d is None, d or 0, n, c) for d, n, c, *_ in got) == want and {(type(s), k) for *_, s, _, k in got} == {(int, "own")}
+
+
+def test_seeds_of_tree_nodes_and_partitions_differ():
+    seen = {tuple(np.random.default_rng([7, shard._TREE, a, b]).integers(0, 1 << 62, 2)) for a in range(40) for b in range(a + 1, 41)}
+    deal = {tuple(np.random.default_rng([7, shard._DEAL, p]).integers(0, 1 << 62, 2)) for p in range(200)}
+    assert len(seen) == 820 and len(deal) == 200 and not seen & deal
+
+
+def test_item_ids_of_any_type_and_clashing_columns(spark):
+    text = prose(30, 20)
+    rows = spark.createDataFrame([(1, text, "own", "own")], "doc_id long, text string, item_id string, __text string")
+    for kind, value in (("int", 7), ("string", "seven"), ("date", __import__("datetime").date(2020, 1, 2)), ("int", None)):
+        items = spark.createDataFrame([(value, text)], f"item_id {kind}, text string")
+        got = decontam.hits(rows, items, keep=("doc_id", "item_id", "__text"))
+        assert got.columns == ["doc_id", "__text", *decontam.FOUND] and got.first()["item_id"] == value
+        assert decontam.clean(rows, items).count() == 0
+
+
+def test_items_of_all_sizes_are_found_in_documents_of_all_sizes(spark):
+    sizes = (5, 6, 9, 15, 40, 130, 700)
+    items = [(n, prose(n, 400 + n)) for n in sizes]
+    rows = [(n, prose(3, 1) + " " + t + " " + prose(2000 if n % 2 else 2, 2)) for n, t in items] + [(10_000 + n, " ".join(t.split()[: n // 2])) for n, t in items]
+    got = sorted(pairs(decontam.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id"))
+    assert got == [(n, n) for n in sizes]
+
+
+def brute_links(texts, similar, width=5):
+    """The least index of each text's component under Jaccard similarity."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_large_buckets_of_near_copies_are_connected_exactly(spark, monkeypatch, stars):
+    from terrafold.llm import near
+
+    monkeypatch.setattr(near, "BUCKET", 3)
+    monkeypatch.setattr(near, "STARS", stars)
+    monkeypatch.setattr(near, "CHUNK", 8)
+    rng, texts = np.random.default_rng(9), []
+    for k in range(3):  # a base, copies that are like it but not like each other, chains of copies, and texts that share half
+        base = prose(150, 700 + k).split()
+        texts.append(" ".join(base))
+        for j in range(25):
+            words = list(base)
+            for at in rng.choice(150, 3, replace=False):
+                words[at] = f"n{k}x{j}x{at}"
+            texts.append(" ".join(words))
+        chain = list(base)
+        for j in range(12):
+            for at in rng.choice(150, 3, replace=False):
+                chain[at] = f"c{k}x{j}x{at}"
+            texts.append(" ".join(chain))
+        texts += [" ".join(base[:110]) + " " + prose(40, 800 + 20 * k + j) for j in range(12)]
+    order = rng.permutation(len(texts))
+    rows = [(int(i), texts[k]) for i, k in enumerate(order)]
+    want = sorted(set(brute_links([t for _, t in rows], 0.8)))
+    got = sorted(x for (x,) in pairs(simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), similar=0.8), "doc_id"))
+    assert got == want and 3 < len(want) < 100
+
+
+def test_long_texts_have_the_same_fingerprints(monkeypatch):
+    texts = [prose(3000, 1), "a b", prose(50, 2), prose(900, 3), ""]
+    want = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "SHINGLES", 64)
+    assert simhash._fingerprints(texts, 4).tolist() == want
+
+
+def test_held_out_accuracy_of_language_identification(spark):
+    import os
+
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", langid.held_out())
+    for limits in ({}, {"max_docs": 200}, {"max_keys": 4000}):
+        model = langid.train(rows.filter("NOT held_out"), **limits)
+        assert not limits.get("max_keys") or sum(map(len, model.tables.values())) <= 4000
+        got = pairs(langid.predict(rows.filter("held_out AND lang IS NOT NULL AND text RLIKE '[a-z]'"), model, keep=("lang",)), "lang", "lang_pred")
+        assert len(got) > 100 and np.mean([a == b for a, b in got]) > 0.97, limits
+
+
+def test_long_words_are_scored_and_not_learned(spark):
+    rows = [(i, t, x, "s", 1, "", "") for i in range(20) for x, t in (("en", "the house and the garden " + "z" * 300), ("de", "das haus und der garten"))]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    assert "zz" not in model.tables[2] and langid.predict(spark.createDataFrame([(1, "garten" * 100_000, None, None, None, None, None)], SCHEMA), model).first()["lang_pred"] == "de"
+
+
+def test_scratch_tables_are_deleted(spark):
+    import os
+
+    from terrafold.llm import columns
+
+    with columns.scratch(spark):
+        (path,) = {os.path.dirname(x) for x in columns.settled(spark.range(3)).inputFiles()}
+        assert os.path.isdir(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://"))
