@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columns import coded, gather, position, slices, sums, texts_of, without
+from .columns import coded_array, gather, position, slices, sums, texts_of, without
 from .stitch import stitched, windows_of
 
 #: Bytes beyond which a piece is encoded in windows.
@@ -40,7 +40,7 @@ LONG = 64
 #: Rows at the beginning of a recursive query, and rows of all its rounds.
 START_ROWS, STEP_ROWS = 100_000, 2_000_000
 #: Encoded pieces, and encoded windows, that a process remembers, so that later slices needn't encode them again.
-DONE, WINDOWS = 150_000, 50_000
+DONE, WINDOWS = 400_000, 50_000
 #: Bytes of long pieces whose windows are encoded together.
 GROUP_BYTES = 256 << 10
 
@@ -96,12 +96,6 @@ class Codec:
         self.db.register("v0", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "b": [w.decode("latin-1") for w in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v0")
 
-    def pieces(self, chunk: str) -> list[str]:
-        """The pattern's matches; letters alone, which most chunks are, need no search."""
-        if chunk[1:].isalpha() and chunk[0] == " ":
-            return [chunk]
-        return self.find(chunk)
-
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each piece: how many, all ids one after another)."""
         done = [self.done.get(x) for x in pieces]
@@ -184,33 +178,48 @@ class Codec:
         """
         odd = np.asarray(pc.match_substring_regex(texts, r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] |  |^ | $"))
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
-        lens, codes, parts = coded(pc.split_pattern(texts.take(pa.array(plain)), " "))
+        lens, codes, parts = coded_array(pc.split_pattern(texts.take(pa.array(plain)), " "))
         first = np.zeros(len(codes), bool)
         first[np.cumsum(lens) - lens] = True
         lead, codes[first] = np.unique(codes[first], return_inverse=True)
         codes[first] += len(parts)
-        chunks = [" " + x for x in parts] + [parts[i] for i in lead.tolist()]
         careful = [_careful(x) for x in texts.take(pa.array(rest)).to_pylist()]
         more: dict[str, int] = {}
-        codes = np.concatenate((codes, np.array([len(chunks) + more.setdefault(x, len(more)) for row in careful for x in row], np.int64)))
+        codes = np.concatenate((codes, np.array([len(parts) + len(lead) + more.setdefault(x, len(more)) for row in careful for x in row], np.int64)))
         lens = np.concatenate((lens, np.array([len(row) for row in careful], np.int64)))
-        sizes, ids = self._encode_chunks([*chunks, *more])
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), parts, pa.scalar(" ", pa.large_string()))
+        chunks = pa.chunked_array([spaced, parts.take(pa.array(lead)), pa.array(list(more), pa.large_string())]).combine_chunks()
+        sizes, ids = self._encode_chunks(chunks)
         totals, out = sums(sizes[codes], lens), gather(codes, sizes, ids)
         if not len(rest):
             return totals, out
         order = np.argsort(np.concatenate((plain, rest)), kind="stable")
         return totals[order], gather(order, totals, out)
 
-    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known: dict[str, int] = {}
-        n_pieces, codes = [], []
-        for chunk in chunks:
-            found = self.pieces(chunk) if chunk else []
-            n_pieces.append(len(found))
-            codes += [known.setdefault(x, len(known)) for x in found]
-        sizes, ids = self.encode_pieces([x.encode() for x in known])
-        codes = np.array(codes, np.int64)
-        return sums(sizes[codes], np.array(n_pieces, np.int64)), gather(codes, sizes, ids.astype(np.uint32))
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Most chunks are letters, or letters and then signs, which are a piece each; the pattern cuts the others."""
+        found = pc.extract_regex(chunks, _WORD_SIGNS)
+        cut, word = np.flatnonzero(found.is_valid()), np.flatnonzero(pc.match_substring_regex(chunks, _WORD))
+        other = np.ones(len(chunks), bool)
+        other[cut] = other[word] = False
+        other = np.flatnonzero(other)
+        rest = [self.find(x) for x in chunks.take(pa.array(other)).to_pylist()]
+        n_rest = np.fromiter(map(len, rest), np.int64, len(rest))
+        of = np.concatenate((cut, cut, word, np.repeat(other, n_rest)))
+        place = np.concatenate((np.zeros(len(cut), np.int64), np.ones(len(cut), np.int64), np.zeros(len(word), np.int64), np.arange(n_rest.sum()) - np.repeat(np.cumsum(n_rest) - n_rest, n_rest)))
+        some = found.take(pa.array(cut))
+        pieces = [pc.struct_field(some, "word"), pc.struct_field(some, "signs"), chunks.take(pa.array(word)), pa.array([x for row in rest for x in row], pa.large_string())]
+        coded = pc.dictionary_encode(pa.chunked_array(pieces).combine_chunks())
+        n_pieces = np.bincount(of, minlength=len(chunks))
+        codes = np.empty(len(of), np.int64)
+        codes[(np.cumsum(n_pieces) - n_pieces)[of] + place] = np.asarray(coded.indices)
+        sizes, ids = self.encode_pieces(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        return sums(sizes[codes], n_pieces), gather(codes, sizes, ids.astype(np.uint32))
+
+
+# Letters that every Unicode version takes for such, and the ASCII signs
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u021f\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f]+"
+_WORD, _WORD_SIGNS = f"^ ?{_LETTERS}$", f"^(?P<word> ?{_LETTERS})(?P<signs>[!-/:-@\\[-`{{-~]+)$"
 
 
 def _careful(text: str) -> list[str]:
