@@ -76,7 +76,7 @@ def _bands(own: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """The id, the set's digest ``fp`` and the band values of every row (none for a text without words)."""
+    """The id, the set's digest ``fp`` and the band values, which differ by band, of every row (none for a text without words)."""
     schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +95,9 @@ def nodes(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes, a < b, that share a bucket of up to BUCKET nodes."""
+    """Pairs (a, b) of nodes, a < b, that share a bucket of up to BUCKET nodes; keyed: (v, n, fp) of the buckets of over two."""
     pairs = shared.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    some = keyed.join(shared.filter(f"n > 2 AND n <= {BUCKET}").select("m", "v"), ["m", "v"]).groupBy("m", "v").agg(F.collect_list("fp").alias("fps"))
+    some = keyed.filter(f"n <= {BUCKET}").groupBy("v").agg(F.collect_list("fp").alias("fps"))
     some = some.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).filter("a < b")
     return pairs.unionByName(some).distinct()
 
@@ -120,21 +120,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float, stars: bool = Fa
     else:
         both = both.join(left, "a")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = [enough(x[i].values.to_numpy(), y[i].values.to_numpy(), similar) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # c / (m + n - c) >= similar for c common ones of m and n; sizes too far apart need no look
+    near = f"least(size(x), size(y)) >= {similar} * greatest(size(x), size(y)) - 1e-9 AND {1 + similar} * size(array_intersect(x, y)) >= {similar} * (size(x) + size(y)) - 1e-9"
+    return both.filter(near).select("a", "b")
 
 
 def chunk_links(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Links between nodes of different components in the buckets of rest (m, v, fp, root)."""
-    chunks = rest.groupBy("m", "v").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"))
-    dealt = salted_join(rest, chunks, ["m", "v"], ["fp"], "inner").withColumn("c", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("k")).cast("int"))
+    """Links between nodes of different components in the buckets of rest (v, fp, root)."""
+    chunks = rest.groupBy("v").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("k"))
+    dealt = salted_join(rest, chunks, ["v"], ["fp"], "inner").withColumn("c", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("k")).cast("int"))
     dealt = dealt.join(sets, "fp").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("m", "v", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp", "root", "own")
+    dealt = dealt.select("v", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "fp", "root", "own")
 
     def compare(t: pa.Table) -> pa.Table:
         fps, chunk, owns = t["fp"].to_numpy(), t["c"].to_numpy(), [x.values.to_numpy() for x in t["own"].combine_chunks()]
@@ -151,28 +147,28 @@ def chunk_links(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                     part[part == part[j]] = part[i]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("m", "v", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("v", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def large_buckets(hot: DataFrame, linked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """linked, and the links that connect the buckets of hot (m, v, fp) as all their pairs would."""
-    pivots = settled(hot.groupBy("m", "v").agg(F.min("fp").alias("a")))
+    """linked, and the links that connect the buckets of hot (v, fp) as all their pairs would."""
+    pivots = settled(hot.groupBy("v").agg(F.min("fp").alias("a")))
     used, rest = pivots, hot.withColumn("root", F.col("fp"))
     for turn in range(STARS):
-        own = rest.select("m", "v", F.col("fp").alias("a"), F.col("root").alias("own_root")).join(pivots, ["m", "v", "a"], "left_semi")
-        stars = salted_join(rest, own, ["m", "v"], ["fp"], "inner").filter("root <> own_root").select("a", F.col("fp").alias("b")).distinct()
+        own = rest.select("v", F.col("fp").alias("a"), F.col("root").alias("own_root")).join(pivots, ["v", "a"], "left_semi")
+        stars = salted_join(rest, own, ["v"], ["fp"], "inner").filter("root <> own_root").select("a", F.col("fp").alias("b")).distinct()
         linked = settled(linked.unionByName(verified(stars, sets, similar, stars=True)))
         roots = contracted(linked)
         now = rest.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         now = settled(now)
-        open_ = settled(now.groupBy("m", "v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("m", "v"))
-        rest = settled(salted_join(now, open_, ["m", "v"], ["fp"], "inner"))
+        open_ = settled(now.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("v"))
+        rest = settled(salted_join(now, open_, ["v"], ["fp"], "inner"))
         if rest.isEmpty():
             return linked
         if turn < STARS - 1:
             degree = linked.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("d"))
-            new = rest.join(used.withColumnRenamed("a", "fp"), ["m", "v", "fp"], "left_anti").join(degree, "fp", "left")
-            pivots = settled(new.groupBy("m", "v").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "fp")).alias("x")).select("m", "v", F.col("x.fp").alias("a")))
+            new = rest.join(used.withColumnRenamed("a", "fp"), ["v", "fp"], "left_anti").join(degree, "fp", "left")
+            pivots = settled(new.groupBy("v").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "fp")).alias("x")).select("v", F.col("x.fp").alias("a")))
             used = used.unionByName(pivots)
     return linked.unionByName(chunk_links(rest, sets, similar))
 
@@ -180,14 +176,15 @@ def large_buckets(hot: DataFrame, linked: DataFrame, sets: DataFrame, similar: f
 def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: float, width: int) -> DataFrame:
     """Links (a, b) of nodes whose similarity is ``similar`` or more, which connect the nodes as all such
     pairs that share a bucket would; own: nodes() of docs, written."""
-    keyed = own.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.posexplode("bands").alias("m", "v"))
-    keyed = settled(keyed)
-    shared = settled(keyed.groupBy("m", "v").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1"))
+    kinds = settled(own.groupBy("fp").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col(id_col).alias("id"))).alias("x")))
+    keyed = kinds.select("fp", F.explode("bands").alias("v"))
+    shared = settled(keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1"))
+    keyed = settled(salted_join(keyed, shared.filter("n > 2").select("v", "n"), ["v"], ["fp"], "inner"))
     found = settled(candidates(keyed, shared))
-    hot = settled(salted_join(keyed, shared.filter(f"n > {BUCKET}").select("m", "v"), ["m", "v"], ["fp"], "inner"))
-    wanted = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct()
+    hot = keyed.filter(f"n > {BUCKET}").select("v", "fp")
+    wanted = settled(found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct())
     # Rows that repeat an id bring other sets along; their digests tell which are wanted.
-    ids = own.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col(id_col).alias("id"))).alias("x")).select("x.id").distinct()
+    ids = kinds.join(wanted, "fp", "left_semi").select("x.id").distinct()
     source = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi").select(F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
