@@ -29,18 +29,19 @@ def probability(s: Column, y: Column) -> Column:
     return F.when(y == 1, 1 - (1 - s)).otherwise(1 - s)
 
 
+def _counts(s: Column, y: Column) -> dict[str, Column]:
+    hit, up, is_pos = correct(s, y), predicts_positive(s, y), y == 1
+    found = {"n_correct": hit, "tp": up & is_pos, "fp": up & ~is_pos, "fn": ~up & is_pos, "n_pos": is_pos}
+    return {"n": F.count("*"), **{k: F.sum(F.when(c, 1).otherwise(0)) for k, c in found.items()}}
+
+
+def _rates(table: DataFrame) -> DataFrame:
+    return table.withColumns({"acc": F.col("n_correct") / F.col("n"), "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
 def pooled(scores: DataFrame, by: list[str], s: str = "s", y: str = "y") -> DataFrame:
     """n, acc and f1 (null without positives or predicted positives) for each group."""
-    hit, up, is_pos = correct(F.col(s), F.col(y)), predicts_positive(F.col(s), F.col(y)), F.col(y) == 1
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return scores.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        count(hit).alias("n_correct"),
-        count(up & is_pos).alias("tp"),
-        count(up & ~is_pos).alias("fp"),
-        count(~up & is_pos).alias("fn"),
-        count(is_pos).alias("n_pos"),
-    ).withColumns({"acc": F.col("n_correct") / F.col("n"), "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+    return _rates(scores.groupBy(*by).agg(*[c.alias(k) for k, c in _counts(F.col(s), F.col(y)).items()]))
 
 
 def auroc(scores: DataFrame, by: list[str], p: str = "p", y: str = "y") -> DataFrame:
@@ -60,11 +61,17 @@ def per_tile(scores: DataFrame, half: str = "half", tile: str = "tile", model: s
     """A row for each tile and model with acc, f1 and auc of both halves; null where not defined:
     acc needs both halves, f1 a positive in both, auc both classes in both."""
     keys = [half, tile, model]
-    table = pooled(scores, keys).join(auroc(scores, keys), keys)
-    out = None
-    for h in ("id", "ood"):
-        own = table.filter(F.col(half) == h).select(tile, model, *[F.col(c).alias(f"{c}_{h}") for c in ("n", "n_pos", "acc", "f1", "auc")])
-        out = own if out is None else out.join(own, [tile, model])
+    # One pass over the scores: counts by probability, ranked and summed by group, halves side by side
+    counts = _counts(F.col("s"), F.col("y"))
+    kinds = scores.groupBy(*keys, "p").agg(*[c.alias(k) for k, c in counts.items()])
+    below = Window.partitionBy(*keys).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = kinds.withColumn("r2", (2 * F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") + 1) * F.col("n_pos"))
+    table = _rates(ranked.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in (*counts, "r2")]))
+    u2 = F.col("r2") - F.col("n_pos") * (F.col("n_pos") + 1)
+    table = table.withColumn("auc", F.try_divide(u2, 2 * F.col("n_pos") * (F.col("n") - F.col("n_pos"))))
+    names = ("n", "n_pos", "acc", "f1", "auc")
+    out = table.groupBy(tile, model).agg(*[F.max(F.when(F.col(half) == h, F.col(c))).alias(f"{c}_{h}") for h in ("id", "ood") for c in names])
+    out = out.filter("n_id IS NOT NULL AND n_ood IS NOT NULL")
     both = (F.col("n_pos_id") > 0) & (F.col("n_pos_ood") > 0)
     mixed = both & (F.col("n_pos_id") < F.col("n_id")) & (F.col("n_pos_ood") < F.col("n_ood"))
     return out.select(

@@ -115,3 +115,18 @@ def split(n: int, seed: int = 42) -> dict[str, list[int]]:
     again = np.random.RandomState(seed).permutation(len(rest))
     n_val = int(np.ceil(0.25 * len(rest)))
     return {"train": sorted(rest[again[n_val:]].tolist()), "val": sorted(rest[again[:n_val]].tolist()), "test": sorted(order[:n_test].tolist())}
+
+
+def split_tiles(points: DataFrame, tile: str, zone: str, label: str, seed: int, share: float = 0.30) -> DataFrame:
+    """(tile, part) of a seeded split by tiles, which all models of a cell share.
+
+    Of the tiles in a random order (by a hash of the seed and the tile), the first ``share``, three at least, are candidates for
+    the test; those with positives of two zones are its tiles, the other candidates belong to no part, and the rest
+    is for training. Null tiles take no part.
+    """
+    tiles = settled(points.filter(F.col(tile).isNotNull()).select(tile).distinct())
+    n = max(3, round(tiles.count() * share))
+    first = tiles.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(tile))), tile).limit(n)
+    zones = points.filter(F.col(label) == 1).groupBy(tile).agg(F.count_distinct(zone).alias("zones")).filter("zones = 2").select(tile)
+    test = first.join(zones, tile, "left_semi").withColumn("part", F.lit("test"))
+    return test.unionByName(tiles.join(first, tile, "left_anti").withColumn("part", F.lit("train")))

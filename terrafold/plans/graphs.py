@@ -149,6 +149,15 @@ def model_split(spark, sf_dir):
     return spark.createDataFrame([(k, len(v)) for k, v in RS.split(360).items()], "part string, n long")
 
 
+@register("R10_tile_split", with_views("pts") + """,
+k AS (SELECT tile, row_number() OVER (ORDER BY md5('3|' || tile), tile) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT tile FROM pts WHERE tile IS NOT NULL)),
+z AS (SELECT tile FROM pts WHERE label = 1 GROUP BY tile HAVING count(DISTINCT dom) = 2)
+SELECT tile, CASE WHEN r > greatest(3, round_even(n * 0.3::DOUBLE, 0)) THEN 'train' ELSE 'test' END AS part FROM k WHERE r > greatest(3, round_even(n * 0.3::DOUBLE, 0)) OR tile IN (SELECT tile FROM z)""")
+def tile_split(spark, sf_dir):
+    """The tiles of the training and the test part."""
+    return RS.split_tiles(view(spark, sf_dir, "pts"), "tile", "dom", "label", 3)
+
+
 @register("R10b_uniform_keys", with_views("pts") + "SELECT pid, CAST('0x' || substr(md5('9|' || pid), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM pts")
 def uniform_keys(spark, sf_dir):
     return view(spark, sf_dir, "pts").select("pid", RS.uniform(9, "pid").alias("u"))
