@@ -53,6 +53,16 @@ def ranked(parts: DataFrame, node: str = "node", least: int = 1) -> DataFrame:
     return parts.join(sizes.withColumn("component", number), "root").select(node, "root", "size", "component")
 
 
+def coherence(selected: DataFrame, edges: DataFrame, least: int, node: str = "node") -> DataFrame:
+    """One row for a subset of the nodes: its components of ``least`` nodes or more under the edges within it, the nodes they
+    hold, and all its pieces."""
+    own = selected.select(F.col(node).alias("a"))
+    inner = edges.join(own, "a", "left_semi").join(own.withColumnRenamed("a", "b"), "b", "left_semi")
+    sizes = components(selected, inner, node).groupBy("root").agg(F.count("*").alias("n"))
+    big = F.col("n") >= least
+    return sizes.agg(F.count_if(big).alias("components"), F.coalesce(F.sum(F.when(big, F.col("n"))), F.lit(0)).cast("long").alias("comp_points"), F.count("*").alias("pieces"))
+
+
 def quadratic(edges: DataFrame, values: DataFrame, node: str = "node", value: str = "z") -> DataFrame:
     """Laplacian form and total variation over undirected edges (a < b)."""
     left = values.select(F.col(node).alias("a"), F.col(value).alias("za"))

@@ -83,6 +83,54 @@ def per_tile(scores: DataFrame, half: str = "half", tile: str = "tile", model: s
     )
 
 
+def prediction_keys(scores: DataFrame, point: str, half: str = "half", model: str = "model") -> DataFrame:
+    """(model, n, up, key): the number of predictions, of positive ones, and the digest of all in the order of half and
+    point. A model's predictions meet in one group: one bit a test point."""
+    up = predicts_positive(F.col("s"), F.col("y"))
+    row = F.struct(half, point, F.when(up, "1").otherwise("0").alias("bit"))
+    t = scores.groupBy(model).agg(F.array_sort(F.collect_list(row)).alias("b"), F.count("*").alias("n"), F.count_if(up).alias("up"))
+    return t.select(model, "n", "up", F.sha2(F.array_join("b.bit", ""), 256).alias("key"))
+
+
+def states(scores: DataFrame, point: str, half: str = "half", model: str = "model") -> DataFrame:
+    """(model, degenerate, duplicate_of): a degenerate model predicts one class for over 19 in 20 points (equality is kept);
+    of the others, one that repeats an earlier one's predictions names the first that has them."""
+    t = prediction_keys(scores, point, half, model).select(model, "key", F.expr("20 * up < n OR 20 * up > 19 * n").alias("degenerate"))
+    first = F.first(model).over(Window.partitionBy("degenerate", "key").orderBy(model))
+    return t.select(model, "degenerate", F.when(~F.col("degenerate") & (first != F.col(model)), first).alias("duplicate_of"))
+
+
+def interpolated(curves: DataFrame, by: str, x: str, y: str, low: float, high: float, steps: int = 101) -> DataFrame:
+    """(by, step, y): each curve, linear between its points, on a grid of ``steps`` values from low to high that all curves
+    span. Every piece gives the values of the grid that lie on it, so nothing is joined; points of one x are averaged."""
+    one = curves.groupBy(by, x).agg(F.avg(y).alias("__y"))
+    order = Window.partitionBy(by).orderBy(x)
+    pieces = one.withColumns({"__x1": F.lead(x).over(order), "__y1": F.lead("__y").over(order)}).filter("__x1 IS NOT NULL")
+    gap = (high - low) / (steps - 1)
+    at = F.lit(low) + F.col("step") * F.lit(gap)
+    bound = lambda c: F.greatest(F.lit(0), F.least(F.lit(steps - 1), c)).cast("int")
+    spread = pieces.withColumn("step", F.explode(F.sequence(bound(F.floor((F.col(x) - low) / gap) - 1), bound(F.ceil((F.col("__x1") - low) / gap) + 1))))
+    at = F.when(F.col("step") == steps - 1, F.lit(high)).otherwise(at)
+    on = spread.filter((F.col(x) <= at) & (at <= F.col("__x1")))
+    value = F.col("__y") + (F.col("__y1") - F.col("__y")) * (at - F.col(x)) / (F.col("__x1") - F.col(x))
+    return on.groupBy(by, "step").agg(F.max_by(value, x).alias(y))
+
+
+def matched(curves: DataFrame, by: str, x: str, y: str, first: str, second: str) -> DataFrame:
+    """One row: the difference of two curves (first less second) over the x that both reach, as mean, least and greatest, the
+    share of the grid where the first is lower, and which of them is lower on four fifths of it (null: neither).
+    Without an overlap all are null. Four numbers reach the driver."""
+    two = curves.filter(F.col(by).isin(first, second) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = two.groupBy(by).agg(F.min(x).alias("a"), F.max(x).alias("b")).agg(F.max("a"), F.min("b"), F.count("*")).first()
+    low, high = ends[0], ends[1]
+    if ends[2] < 2 or high <= low:
+        two, low, high = two.limit(0), 0.0, 1.0
+    side = lambda name: F.max(F.when(F.col(by) == name, F.col(y)))
+    d = interpolated(two, by, x, y, float(low), float(high)).groupBy("step").agg((side(first) - side(second)).alias("d"))
+    t = d.agg(F.avg("d").alias("mean"), F.min("d").alias("least"), F.max("d").alias("greatest"), F.avg((F.col("d") < 0).cast("double")).alias("share"))
+    return t.withColumn("stronger", F.when(F.col("share") >= 0.8, first).when(F.col("share") <= 0.2, second))
+
+
 def tile_delta(tiles: DataFrame, tile: str = "tile") -> DataFrame:
     """Mean over models for each tile, with null where no model has it."""
     return tiles.groupBy(tile).agg(*[F.avg(f"{m}_delta").alias(f"{m}_delta") for m in ("acc", "f1", "auc")])

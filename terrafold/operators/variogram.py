@@ -54,8 +54,8 @@ def semivariogram(points: DataFrame, key: str, columns: list[str], lag: float, m
     return sums.filter("pairs > 0").select("column", "bin", "pairs", (F.col("s") / (2 * F.col("pairs"))).alias("gamma"))
 
 
-def fit(h: np.ndarray, gamma: np.ndarray, n: np.ndarray, lag: float, max_lag: float) -> tuple[str, float, float, float, float]:
-    """(model, nugget, psill, a, effective range), least squares with weights n / h^2; nugget and psill >= 0.
+def fit(h: np.ndarray, gamma: np.ndarray, n: np.ndarray, lag: float, max_lag: float) -> tuple[str, float, float, float, float, str]:
+    """(model, nugget, psill, a, effective range, note), least squares with weights n / h^2; nugget and psill >= 0.
 
     For a fixed a, the model is linear in nugget and psill; a comes from a grid and a golden section.
     """
@@ -84,4 +84,7 @@ def fit(h: np.ndarray, gamma: np.ndarray, n: np.ndarray, lag: float, max_lag: fl
         own = (err, name, c0, c1, float(a), float(a * np.log(20) if name == "exponential" else 0.8113 * a))
         out = own if out is None or own < out else out
     _, name, c0, c1, a, reach = out
-    return name, c0, c1, a, 0.0 if c1 < 0.01 * (c0 + c1) else reach
+    if c1 < 0.01 * (c0 + c1):
+        return name, c0, c1, a, 0.0, "pure nugget (no spatial structure)"
+    rising = a >= 0.99 * 10 * max_lag or reach > max_lag
+    return name, c0, c1, a, reach, "beyond the lags (still rising at the largest lag)" if rising else ""

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.geometry import inside
 from ..operators import graph as K
 from ..operators import matching as MT
+from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import sampling as RS
 from ..operators import spatial as SP
 from ..operators import variogram as V
 from ..operators.storage import settled
 from ..registry import register
-from ..sources.proxies import view, with_views
+from ..sources.proxies import table, view, with_views
 from .spatial import neighbours, polygons
 
 _NEAR = with_views("pts") + ", pr AS (SELECT a.pid AS a, b.pid AS b FROM pts a JOIN pts b ON a.pid < b.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 4000000), ed AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr)"
@@ -63,6 +63,15 @@ def ranked(spark, sf_dir):
     return parts.filter("node = root").select("root", "size", F.col("component").cast("long").alias("component"))
 
 
+@register("K09_coherence", _CC.replace("WITH RECURSIVE pts", "WITH RECURSIVE all_pts").replace("FROM orders)", "FROM orders), pts AS (SELECT * FROM all_pts WHERE label = 1)", 1) + """,
+sz AS (SELECT count(*) AS n FROM cc GROUP BY root)
+SELECT count(*) FILTER (n >= 4) AS components, coalesce(sum(n) FILTER (n >= 4), 0)::BIGINT AS comp_points, count(*) AS pieces FROM sz""")
+def coherence(spark, sf_dir):
+    """Components of the subset with label 1 within the near graph, the points in those of four or more, and all pieces."""
+    p = view(spark, sf_dir, "pts").filter("label = 1").select(F.col("pid").alias("node"))
+    return K.coherence(p, near_edges(spark, sf_dir), 4)
+
+
 @register("K10_smoothing", _NEAR + """,
 s AS (SELECT e.a, sum(1 - p.label) AS s, count(*) AS d FROM ed e JOIN pts p ON p.pid = e.b GROUP BY e.a)
 SELECT pid AS node, round((1 - label + coalesce(s, 0)) / (1.0::DOUBLE + coalesce(d, 0)), 6) AS smooth FROM pts LEFT JOIN s ON s.a = pid""")
@@ -251,7 +260,7 @@ def variogram_fit(spark, sf_dir):
     for c, g in rows.groupby("column"):
         h = (g["bin"].to_numpy() + 0.5) * 10_000.0
         out.append((c, *V.fit(h, g["gamma"].to_numpy(), g["pairs"].to_numpy(float), 10_000.0, 200_000.0)))
-    return spark.createDataFrame(out, "column string, model string, nugget double, psill double, a double, range double")
+    return spark.createDataFrame(out, "column string, model string, nugget double, psill double, a double, range double, note string")
 
 
 @register("G12_focal_deviation", with_views("pts") + """,
@@ -273,10 +282,19 @@ def hulls(spark, sf_dir):
     return convex_hulls(view(spark, sf_dir, "pts"), "tile")
 
 
-@register("T12_purity_interpolation", "SELECT 101::BIGINT AS n, true AS wins")
+_CURVES = "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'gtv' ELSE 'laplacian' END AS search, CAST(p_size AS BIGINT) + 4 * (p_partkey % 2) AS purity, avg(CAST(p_retailprice AS DOUBLE)) AS r FROM part GROUP BY p_partkey % 2, p_size"
+
+
+@register("T12_purity_interpolation", "WITH cu AS (" + _CURVES + """),
+en AS (SELECT max(a)::DOUBLE AS lo, min(b)::DOUBLE AS hi FROM (SELECT min(purity) AS a, max(purity) AS b FROM cu GROUP BY search)),
+pc AS (SELECT search, purity AS x0, r AS y0, lead(purity) OVER w AS x1, lead(r) OVER w AS y1 FROM cu WINDOW w AS (PARTITION BY search ORDER BY purity)),
+gr AS (SELECT i, CASE WHEN i = 100 THEN hi ELSE lo + i * ((hi - lo) / 100) END AS g FROM en, range(101) t(i)),
+va AS (SELECT search, i, arg_max(y0 + (y1 - y0) * (g - x0) / (x1 - x0), x0) AS v FROM pc JOIN gr ON x0 <= g AND g <= x1 GROUP BY search, i),
+df AS (SELECT i, max(v) FILTER (search = 'gtv') - max(v) FILTER (search = 'laplacian') AS d FROM va GROUP BY i)
+SELECT round(avg(d), 6) AS mean, round(min(d), 6) AS least, round(max(d), 6) AS greatest, round(avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END), 6) AS share,
+  CASE WHEN avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) >= 0.8 THEN 'gtv' WHEN avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END) <= 0.2 THEN 'laplacian' END AS stronger FROM df""")
 def interpolation(spark, sf_dir):
-    """Two curves, linear in purity, on a grid of 101 points of their overlap; which wins on 80% of it."""
-    a, b = np.array([[0.1, -0.97], [0.6, -0.91], [0.9, -0.7]]), np.array([[0.2, -0.8], [0.7, -0.75], [0.95, -0.5]])
-    grid = np.linspace(max(a[0, 0], b[0, 0]), min(a[-1, 0], b[-1, 0]), 101)
-    better = np.interp(grid, a[:, 0], a[:, 1]) < np.interp(grid, b[:, 0], b[:, 1])
-    return spark.createDataFrame([(len(grid), bool(better.mean() >= 0.8))], "n long, wins boolean")
+    """Two searches' curves, linear in purity, on a grid of 101 points of their overlap; which is lower on 80% of it."""
+    curves = spark.sql(_CURVES.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    t = M.matched(curves, "search", "purity", "r", "gtv", "laplacian")
+    return t.select(*[F.round(c, 6).alias(c) for c in ("mean", "least", "greatest", "share")], "stronger")

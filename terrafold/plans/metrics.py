@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import fisher_interval, probit, t_quantile, wilcoxon
 from ..operators import metrics as M
+from ..operators import sampling as RS
 from ..registry import register
 from ..sources.proxies import view, with_views
 
-#: The tiles of the test half: those of a rule that hold positives of both zones.
-_TILES = """
-tt AS (SELECT tile FROM pts WHERE label = 1 AND CAST(split_part(tile, '_', 1) AS BIGINT) % 3 = 0 GROUP BY tile HAVING count(DISTINCT dom) = 2),
+#: The split of the tiles that all metric queries share (R10), as SQL: ordered tiles, test tiles, tiles of training.
+SPLIT = """
+rt AS (SELECT tile, row_number() OVER (ORDER BY md5('3|' || tile), tile) > greatest(3, round_even(count(*) OVER () * 0.3::DOUBLE, 0)) AS train FROM (SELECT DISTINCT tile FROM pts WHERE tile IS NOT NULL)),
+tt AS (SELECT tile FROM pts JOIN rt USING (tile) WHERE label = 1 AND NOT train GROUP BY tile HAVING count(DISTINCT dom) = 2),
+ct AS (SELECT tile FROM rt WHERE train)"""
+_TILES = SPLIT + """,
 sc AS (
   SELECT s.model, s.pid, s.p8 / 8.0::DOUBLE AS p, p.label AS y, p.tile, p.dom, CASE WHEN p.dom = 'A' THEN 'id' ELSE 'ood' END AS half,
          CASE WHEN p.label = 1 THEN s.p8 / 8.0::DOUBLE ELSE 1 - s.p8 / 8.0::DOUBLE END AS s
@@ -20,15 +24,15 @@ sc AS (
 SC = with_views("pts", "scores") + "," + _TILES
 
 
-def test_tiles(pts: DataFrame) -> DataFrame:
-    picked = pts.filter("label = 1").filter(F.split("tile", "_")[0].cast("long") % 3 == 0)
-    return picked.groupBy("tile").agg(F.count_distinct("dom").alias("zones")).filter("zones = 2").select("tile")
+def tiles_of(pts: DataFrame, part: str) -> DataFrame:
+    """The tiles of the split's "train" or "test" part."""
+    return RS.split_tiles(pts, "tile", "dom", "label", 3).filter(F.col("part") == part).select("tile")
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the test tiles, joined with labels: zone A is the ID half, AE the OOD half."""
     pts = view(spark, sf_dir, "pts")
-    own = pts.join(test_tiles(pts), "tile", "left_semi").select("pid", F.col("label").alias("y"), "tile", "dom", F.when(F.col("dom") == "A", "id").otherwise("ood").alias("half"))
+    own = pts.join(tiles_of(pts, "test"), "tile", "left_semi").select("pid", F.col("label").alias("y"), "tile", "dom", F.when(F.col("dom") == "A", "id").otherwise("ood").alias("half"))
     s = view(spark, sf_dir, "scores").withColumn("p", F.col("p8") / F.lit(8.0))
     return s.join(own, "pid").withColumn("s", M.true_class_score(F.col("p"), F.col("y")))
 
@@ -130,30 +134,25 @@ k AS (SELECT model % 4 * 10 + model % 10 AS grid, model, string_agg(CASE WHEN CA
 @register("F17_prediction_key", _KEY + "SELECT model, length(bits) AS n_bits, sha256(bits) AS key FROM k")
 def prediction_key(spark, sf_dir):
     """A digest of all predictions of a model, ID points first; long models stay within their own group."""
-    bit = F.when(M.predicts_positive(F.col("s"), F.col("y")), "1").otherwise("0").alias("bit")
-    rows = scored(spark, sf_dir).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("half", "pid", bit))).alias("b"))
-    bits = F.array_join(F.col("b.bit"), "")
-    return rows.select("model", F.length(bits).cast("long").alias("n_bits"), F.sha2(bits, 256).alias("key"))
+    return M.prediction_keys(scored(spark, sf_dir), "pid").select("model", F.col("n").alias("n_bits"), "key")
 
 
-@register("W08_M06_duplicates", with_views("scores") + """,
-k AS (SELECT model, sum(p8) % 5 AS key FROM scores GROUP BY model)
-SELECT model, CASE WHEN f <> model THEN f END AS duplicate_of FROM (SELECT model, first_value(model) OVER (PARTITION BY key ORDER BY model) AS f FROM k)""")
+STATES = _KEY + """,
+c AS (SELECT model, 20 * k < n OR 20 * k > 19 * n AS degenerate FROM (SELECT model, count(*) AS n, count(*) FILTER (CASE WHEN y = 1 THEN s > 0.5 ELSE s < 0.5 END) AS k FROM sc GROUP BY model)),
+st AS (SELECT model, degenerate, CASE WHEN NOT degenerate AND f <> model THEN f END AS duplicate_of FROM (SELECT model, degenerate, first_value(model) OVER (PARTITION BY degenerate, bits ORDER BY model) AS f FROM k JOIN c USING (model)))"""
+
+
+@register("W08_M06_duplicates", STATES + "SELECT model, duplicate_of FROM st")
 def duplicates(spark, sf_dir):
-    """Models with an earlier model's key, naming the first holder."""
-    k = view(spark, sf_dir, "scores").groupBy("model").agg((F.sum("p8") % 5).alias("key"))
-    first = F.first("model").over(Window.partitionBy("key").orderBy("model"))
-    return k.select("model", F.when(first != F.col("model"), first).alias("duplicate_of"))
+    """Models that repeat the predictions of an earlier one that isn't degenerate, naming the first holder."""
+    return M.states(scored(spark, sf_dir), "pid").select("model", "duplicate_of")
 
 
-@register("A29_family_counts", with_views("scores") + """,
-m AS (SELECT model, model % 8 AS family, sum(p8) AS t FROM scores GROUP BY model)
-SELECT family, count(*) AS settings, count(*) FILTER (t % 5 = 0) AS degenerate, count(*) FILTER (t % 5 = 1) AS duplicate, count(*) FILTER (t % 5 NOT IN (0, 1)) AS kept FROM m GROUP BY family""")
+@register("A29_family_counts", STATES + """
+SELECT model % 8 AS family, count(*) AS settings, count(*) FILTER (degenerate) AS degenerate, count(duplicate_of) AS duplicate, count(*) FILTER (NOT degenerate AND duplicate_of IS NULL) AS kept FROM st GROUP BY 1""")
 def family_counts(spark, sf_dir):
-    m = view(spark, sf_dir, "scores").groupBy("model").agg((F.sum("p8") % 5).alias("t")).withColumn("family", F.col("model") % 8)
-    return m.groupBy("family").agg(
-        F.count("*").alias("settings"), *[F.count_if(F.expr(c)).alias(n) for n, c in (("degenerate", "t = 0"), ("duplicate", "t = 1"), ("kept", "t NOT IN (0, 1)"))]
-    )
+    t = M.states(scored(spark, sf_dir), "pid").groupBy((F.col("model") % 8).alias("family"))
+    return t.agg(F.count("*").alias("settings"), F.count_if("degenerate").alias("degenerate"), F.count("duplicate_of").alias("duplicate"), F.count_if(~F.col("degenerate") & F.col("duplicate_of").isNull()).alias("kept"))
 
 
 _ACC = SC + """,
@@ -211,9 +210,9 @@ def holm(spark, sf_dir):
 
 
 @register("T06_focus_tile", SC + """
-SELECT half, round(count(*) FILTER (tile = '3_4') / count(*), 6) AS share, round(avg(CASE WHEN tile = '3_4' THEN CASE WHEN s > 0.5 OR (s = 0.5 AND y = 0) THEN 1.0 ELSE 0.0 END END), 6) AS acc FROM sc GROUP BY half""")
+SELECT half, round(count(*) FILTER (tile = '4_4') / count(*), 6) AS share, round(avg(CASE WHEN tile = '4_4' THEN CASE WHEN s > 0.5 OR (s = 0.5 AND y = 0) THEN 1.0 ELSE 0.0 END END), 6) AS acc FROM sc GROUP BY half""")
 def focus_tile(spark, sf_dir):
-    here, hit = F.col("tile") == "3_4", M.correct(F.col("s"), F.col("y"))
+    here, hit = F.col("tile") == "4_4", M.correct(F.col("s"), F.col("y"))
     return scored(spark, sf_dir).groupBy("half").agg(F.round(F.count_if(here) / F.count("*"), 6).alias("share"), F.round(F.avg(F.when(here, hit.cast("double"))), 6).alias("acc"))
 
 
@@ -241,16 +240,14 @@ def signed_rank(spark, sf_dir):
     return spark.createDataFrame([(len(ranks), wilcoxon([tuple(r) for r in ranks], zero))], "n int, p double")
 
 
-@register("P05_train_id_ood_sets", with_views("pts") + """,
-tt AS (SELECT tile FROM pts WHERE label = 1 AND CAST(split_part(tile, '_', 1) AS BIGINT) % 3 = 0 GROUP BY tile HAVING count(DISTINCT dom) = 2),
-ct AS (SELECT tile FROM pts GROUP BY tile HAVING CAST(split_part(tile, '_', 1) AS BIGINT) % 3 <> 0)
+@register("P05_train_id_ood_sets", with_views("pts") + "," + SPLIT + """
 SELECT st, n, n_pos FROM (
  SELECT 'train' AS st, count(*) AS n, sum(label)::BIGINT AS n_pos FROM pts SEMI JOIN ct USING (tile) WHERE dom = 'A' AND (label = 1 OR protocol = 'band')
  UNION ALL SELECT 'id', count(*), sum(label)::BIGINT FROM pts SEMI JOIN tt USING (tile) WHERE dom = 'A' AND (label = 1 OR protocol = 'band')
  UNION ALL SELECT 'ood', count(*), sum(label)::BIGINT FROM pts SEMI JOIN tt USING (tile) WHERE dom = 'AE' AND (label = 1 OR protocol = 'band'))""")
 def split_sets(spark, sf_dir):
     pts = view(spark, sf_dir, "pts")
-    tests, train = test_tiles(pts), pts.filter(F.split("tile", "_")[0].cast("long") % 3 != 0).select("tile").distinct()
+    tests, train = tiles_of(pts, "test"), tiles_of(pts, "train")
     usable = pts.filter("label = 1 OR protocol = 'band'")
     out = None
     for name, dom, tiles in (("train", "A", train), ("id", "A", tests), ("ood", "AE", tests)):
@@ -259,6 +256,6 @@ def split_sets(spark, sf_dir):
     return out
 
 
-@register("R10_test_tiles", with_views("pts") + "SELECT tile FROM pts WHERE label = 1 AND CAST(split_part(tile, '_', 1) AS BIGINT) % 3 = 0 GROUP BY tile HAVING count(DISTINCT dom) = 2")
+@register("R10_test_tiles", with_views("pts") + "," + SPLIT + " SELECT tile FROM tt")
 def tiles_of_test(spark, sf_dir):
-    return test_tiles(view(spark, sf_dir, "pts"))
+    return tiles_of(view(spark, sf_dir, "pts"), "test")

@@ -81,3 +81,26 @@ def test_epsilon_correlation(spark):
     df = spark.createDataFrame([(float(a), float(2 * a)) for a in x], "a double, b double")
     want = np.mean((x - 2) * (2 * x - 4)) / math.sqrt((x.var() + 1e-6) * (4 * x.var() + 1e-6))
     assert M.epsilon_correlation(df, [], "a", "b").first()["r"] == pytest.approx(want)
+
+
+def test_curves_are_compared_where_both_reach(spark):
+    rng = np.random.default_rng(4)
+    for k in range(3):
+        a, b = np.sort(rng.choice(900, 8, False)) / 1000, np.sort(rng.choice(900, 5, False) + 50) / 1000
+        u, v = rng.random(8), rng.random(5)
+        grid = np.linspace(max(a[0], b[0]), min(a[-1], b[-1]), 101)
+        d = np.interp(grid, a, u) - np.interp(grid, b, v)
+        rows = [("p", float(x), float(y)) for x, y in zip(a, u)] + [("q", float(x), float(y)) for x, y in zip(b, v)] + [("p", None, 1.0), ("q", 0.5, None)]
+        got = M.matched(spark.createDataFrame(rows, "s string, x double, y double"), "s", "x", "y", "p", "q").first()
+        assert np.allclose([got["mean"], got["least"], got["greatest"], got["share"]], [d.mean(), d.min(), d.max(), (d < 0).mean()])
+        assert got["stronger"] == ("p" if (d < 0).mean() >= 0.8 else "q" if (d < 0).mean() <= 0.2 else None)
+    apart = spark.createDataFrame([("p", 0.1, 1.0), ("p", 0.2, 1.0), ("q", 0.3, 1.0), ("q", 0.4, 1.0)], "s string, x double, y double")
+    assert M.matched(apart, "s", "x", "y", "p", "q").first()["mean"] is None
+    assert M.matched(apart.limit(0), "s", "x", "y", "p", "q").first()["stronger"] is None
+
+
+def test_repeated_and_degenerate_models(spark):
+    bits = {1: "0110", 2: "0110", 3: "1111", 4: "1111", 5: "0111", 6: "0110"}
+    rows = [("id" if i < 2 else "ood", m, i, 0.9 if c == "1" else 0.1, 1) for m, b in bits.items() for i, c in enumerate(b)]
+    got = {r["model"]: (r["degenerate"], r["duplicate_of"]) for r in M.states(spark.createDataFrame(rows, "half string, model int, pid long, s double, y int"), "pid").collect()}
+    assert got == {1: (False, None), 2: (False, 1), 3: (True, None), 4: (True, None), 5: (False, None), 6: (False, 1)}

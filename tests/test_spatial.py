@@ -166,9 +166,10 @@ def test_variogram_by_hand(spark):
 
 def test_variogram_fit_finds_the_range():
     h = np.arange(5, 200, 10.0)
-    name, c0, c1, a, reach = V.fit(h, 0.2 + 1.5 * (1 - np.exp(-h / 20)), np.full(len(h), 100.0), 10, 200)
+    name, c0, c1, a, reach, note = V.fit(h, 0.2 + 1.5 * (1 - np.exp(-h / 20)), np.full(len(h), 100.0), 10, 200)
     assert name == "exponential" and a == pytest.approx(20, rel=1e-3) and reach == pytest.approx(20 * math.log(20), rel=1e-3)
-    assert V.fit(h, np.full(len(h), 0.7), np.full(len(h), 100.0), 10, 200)[4] == 0
+    assert note == "" and V.fit(h, 0.001 * h, np.full(len(h), 100.0), 10, 200)[5].startswith("beyond the lags")
+    assert V.fit(h, np.full(len(h), 0.7), np.full(len(h), 100.0), 10, 200)[4:] == (0, "pure nugget (no spatial structure)")
 
 
 def test_projection_of_a_published_point(spark):
