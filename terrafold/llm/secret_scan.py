@@ -21,6 +21,8 @@ Repeated rows are separate rows with equal spans. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .columns import salted_join, settled
 
 #: Owners from which a value counts as an example; repositories from which one of two owners does.
 EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 20
+#: Spans of a text whose places are summed at a time; it changes no result.
+CHUNK = 128
 
 # Kinds in order; (pattern, group of the value, least length of that group, substrings of which one is needed)
 BASE_KINDS = {
@@ -46,21 +50,45 @@ KINDS = BASE_KINDS | MORE_KINDS
 _SPAN = "array<struct<at:int,ord:int,stop:int,kind:string,value:string>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sums(numbers: Column) -> Column:
+    """Running sums, in time that grows with the square of the numbers: for chunks."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<int>)").alias("out"))
+    return F.aggregate(numbers, start, lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"] + n)).alias("out")))["out"]
+
+
+def _ends(numbers: Column) -> Column:
+    """Running sums of any number of integers: within chunks, and over the chunks' totals, so that a text of very many
+    spans isn't copied once for each of them."""
+
+    def summed(n: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / CHUNK).cast("int")), lambda i: _sums(F.slice(n, i * CHUNK + 1, F.lit(CHUNK))))
+        return _bound(parts, lifted)
+
+    def lifted(parts: Column) -> Column:
+        total = lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0))
+        ends = _sums(F.transform(parts, total))
+        return F.flatten(F.zip_with(parts, ends, lambda p, end: F.transform(p, lambda x: x + (end - total(p)))))
+
+    return _bound(numbers, summed)
+
+
 def _spans(text: Column, order: int, kind: str) -> Column:
     pattern, group, least, needed = KINDS[kind]
     lit = F.lit(pattern)
     gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, lit, F.lit(0)), F.regexp_extract_all(text, lit, F.lit(group))
-    rows = F.arrays_zip(gaps.alias("g"), whole.alias("m"), value.alias("v"))
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("g"), whole.alias("m"), value.alias("v"))
     none = F.expr(f"cast(array() AS {_SPAN})")
 
-    def step(state: Column, row: Column) -> Column:
-        at = state["at"] + F.length(row["g"])
-        span = F.struct(at.alias("at"), F.lit(order).alias("ord"), (at + F.length(row["m"])).alias("stop"), F.lit(kind).alias("kind"), row["v"].alias("value"))
-        # The last gap has no match after it.
-        grown = F.when(F.length(row["v"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct((at + F.coalesce(F.length(row["m"]), F.lit(0))).alias("at"), grown.cast(_SPAN).alias("out"))
+    def span(row: Column, stop: Column) -> Column:
+        return F.struct((stop - F.length(row["m"])).alias("at"), F.lit(order).alias("ord"), stop.alias("stop"), F.lit(kind).alias("kind"), row["v"].alias("value"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    placed = _bound(rows, lambda r: F.zip_with(r, _ends(F.transform(r, lambda x: F.length(x["g"]) + F.length(x["m"]))), span))
+    found = F.filter(placed, lambda x: F.length(x["value"]) >= least).cast(_SPAN)
     if kind == "assign":
         low = F.lower(text)
         test = low.rlike("") if not needed else None
