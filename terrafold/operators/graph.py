@@ -58,7 +58,12 @@ def coherence(selected: DataFrame, edges: DataFrame, least: int, node: str = "no
     hold, and all its pieces."""
     own = selected.select(F.col(node).alias("a"))
     inner = edges.join(own, "a", "left_semi").join(own.withColumnRenamed("a", "b"), "b", "left_semi")
-    sizes = components(selected, inner, node).groupBy("root").agg(F.count("*").alias("n"))
+    return pieces(components(selected, inner, node), least)
+
+
+def pieces(parts: DataFrame, least: int) -> DataFrame:
+    """coherence() of known components (node, root)."""
+    sizes = parts.groupBy("root").agg(F.count("*").alias("n"))
     big = F.col("n") >= least
     return sizes.agg(F.count_if(big).alias("components"), F.coalesce(F.sum(F.when(big, F.col("n"))), F.lit(0)).cast("long").alias("comp_points"), F.count("*").alias("pieces"))
 
@@ -81,5 +86,10 @@ def purity(directed: DataFrame, selected: DataFrame, node: str = "node") -> Data
 def smoothed(edges: DataFrame, values: DataFrame, node: str = "node", value: str = "q") -> DataFrame:
     """(I + D)^-1 (I + A) applied to the values."""
     near = edges.join(values.select(F.col(node).alias("b"), F.col(value).alias("qb")), "b").groupBy("a").agg(F.sum("qb").alias("s"), F.count("*").alias("d"))
-    joined = values.join(near.withColumnRenamed("a", node), node, "left")
+    return smooth(values, near.withColumnRenamed("a", node), node, value)
+
+
+def smooth(values: DataFrame, near: DataFrame, node: str = "node", value: str = "q") -> DataFrame:
+    """smoothed() by the sums (s) and numbers (d) of the neighbours' values."""
+    joined = values.join(near, node, "left")
     return joined.select(node, ((F.col(value) + F.coalesce("s", F.lit(0))) / (1 + F.coalesce("d", F.lit(0)))).alias("smooth"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import geometry as G
 from terrafold.functions import scalar as S
 from terrafold.operators import graph as K
-from terrafold.operators import hulls, matching, relational, sampling
+from terrafold.operators import blocks, hulls, matching, relational, sampling
 from terrafold.operators import spatial as SP
 from terrafold.operators import variogram as V
 
@@ -226,6 +226,34 @@ def test_placement_reports_too_few_points(spark):
     assert sampling.place(z, "need", 1, F.col("x") < 5).count() == 3
 
 
+def clustered(n=400):
+    """Points in a few crowds, with repeated places."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 3000, (12, 2))
+    xy = centres[rng.integers(0, 12, n)] + rng.integers(-120, 120, (n, 2))
+    return np.concatenate((xy, xy[:20], rng.integers(0, 4000, (60, 2))))
+
+
+def near_matrix(xy, distance):
+    near = ((xy[:, None] - xy[None]) ** 2).sum(2) < distance**2
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("block,limit", [(5000, 100_000), (20, 15)])
+def test_sums_over_neighbours_need_no_pairs(spark, monkeypatch, block, limit):
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "LIMIT", limit)
+    xy = clustered()
+    z = np.arange(len(xy)) % 5
+    df = spark.createDataFrame([(i, int(a), int(b), int(z[i])) for i, (a, b) in enumerate(xy)], "pid long, x long, y long, z long")
+    near = near_matrix(xy, 40)
+    d = np.abs(z[:, None] - z[None]) * near
+    want = {i: (int(near[i].sum()), float((near[i] * z).sum()), float((d[i] ** 2).sum()), float(d[i].sum())) for i in range(len(xy))}
+    t = blocks.near_sums(df, "pid", 40, ("z",), gap="z")
+    assert {r["pid"]: (r["n"], r["sum_z"], r["squares"], r["gaps"]) for r in t.collect()} == want
+
+
 def random_rings(spark):
     rng = np.random.default_rng(7)
     rows = []
