@@ -102,3 +102,28 @@ def test_registered_queries_cover_the_grid_and_the_plan(spark, monkeypatch):
     got = seen["search"].arguments
     assert got["units"] == search.plan() and len(got["units"]) == 55
     assert (got["trials"], got["max_steps"], got["patience"]) == (100, 50_000, 500)
+
+
+def test_arrays_reach_the_driver_packed(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from terrafold.operators import storage
+
+    def refused(self):
+        raise AssertionError("rows as objects at the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", refused)
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    df = spark.createDataFrame([(i, None if i == 3 else i / 2) for i in range(1000)], "k long, v double").repartition(3)
+    t = storage.arrays(df, {"k": "int64", "v": "float64"})
+    assert sorted(t["k"].tolist()) == list(range(1000)) and np.isnan(t["v"]).sum() == 1 and np.nansum(t["v"]) == 999 * 500 / 2 - 1.5
+    assert len(storage.arrays(df.limit(0), {"k": "int64"})["k"]) == 0
+    pts = spark.createDataFrame([(i, float(i % 7), float(i), int(i % 7 > 3)) for i in range(200)], "pid long, f double, g double, label int")
+    specs = MO.grid(spark).filter("kind = 'nb'").limit(2)
+    assert MO.population(specs, pts, pts, ["f", "g"], "pid", least=50).count() == 400
+    correct = spark.createDataFrame([(m, p, (m * p) % 3 % 2) for m in range(20) for p in range(30)], "model int, point long, hit int")
+    acc = spark.createDataFrame([(m, 0.5 + m / 60) for m in range(20)], "model int, acc double")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(29)] + [(5, 77)], "a long, b long")
+    parts = {"train": list(range(12)), "val": list(range(12, 16)), "test": list(range(16, 20))}
+    got = Q.search(spark, [("laplacian_mu1_S5", "laplacian", 1.0, 5)], correct, acc, pairs, parts, trials=2, max_steps=5)
+    assert len(got.first()["points"]) == 5
