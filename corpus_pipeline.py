@@ -19,7 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, similarity 0.8) stays, that with the least id."""
+    """One document of each component of near copies (SimHash links that five-word shingles confirm at similarity 0.8, then
+    similar pairs beyond the radius) stays, that with the least id."""
     return simhash.representatives(docs, similar=0.8, width=5)
 
 

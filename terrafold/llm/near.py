@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, then exact verification.
+"""Near copies by the Jaccard similarity of word shingles: SimHash links first, MinHash bands for the rest, exact verification.
 
 Texts are lower-cased (A-Z) and cut into words; a text's set holds the 64-bit hashes of its shingles
 of ``width`` words (a shorter text is one shingle). Texts of one set, as its digest tells, are one
-node. Of the other pairs, those that agree in one of BANDS bands of ROWS least values are
-candidates: at similarity 0.8 a pair escapes with a chance of (1 - 0.8^4)^24, about 0.000003.
+node. The links of the nodes' SimHash fingerprints (simhash.py: covering masks) are verified first, and their components
+contracted. Only pairs of different components are looked at after that: a fingerprint differs in about 10 of 64 bits
+at similarity 0.8, more than any number of masks that could be made reaches, so pairs
+that agree in one of BANDS bands of ROWS least values are candidates too: at similarity 0.8 a pair escapes with a chance of (1 - 0.8^4)^24, about 0.000003.
 Candidates are linked only if the similarity of their sets, recomputed from the texts, is enough.
 
 In a band's bucket of up to BUCKET nodes all pairs are candidates. A larger bucket is searched until
@@ -16,7 +18,7 @@ rows grow with a bucket's nodes times its chunks, a task holds two chunks, and n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,25 +77,39 @@ def _bands(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def nodes(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """The id, the set's digest ``fp`` and the band values, which differ by band, of every row (none for a text without words)."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("fp", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
+def nodes(docs: DataFrame, id_col: str, text: str, width: int, fingerprints: Callable[[list[str], int], np.ndarray]) -> DataFrame:
+    """The id, the set's digest ``fp``, the text's fingerprint ``sim`` and the band values, which differ by band, of every row
+    (none for a text without words)."""
+    longs = [T.StructField(c, T.LongType(), False) for c in ("fp", "sim")]
+    schema = T.StructType([docs.schema[id_col], *longs, T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 fps, values = [], []
-                for x in texts_of(part, "__text").to_pylist():
+                texts = texts_of(part, "__text").to_pylist()
+                sims = fingerprints(texts, width).view(np.int64)
+                for x in texts:
                     own = shingle_set(x, width)
                     fps.append(_digest(own))
                     values.append(_bands(own) if len(own) else own)
                 ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), bands], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sims), bands], schema.names)
 
     return docs.select(id_col, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def simhash_pairs(kinds: DataFrame, close: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (fp, sim) that the links ``close`` (a, b) of fingerprints give: the least node of a fingerprint
+    with its other nodes and with the least one of each fingerprint linked to it."""
+    least = settled(kinds.groupBy("sim").agg(F.min("fp").alias("a"), F.count("*").alias("n")))
+    same = salted_join(kinds.select("sim", "fp"), least.filter("n > 1").select("sim", "a"), ["sim"], ["fp"], "inner").filter("fp <> a")
+    ends = [least.select(F.col("sim").alias(c), F.col("a").alias(f"fp_{c}")) for c in ("a", "b")]
+    other = close.select("a", "b").join(ends[1], "b").join(ends[0], "a")
+    return same.select("a", F.col("fp").alias("b")).unionByName(other.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+
+
 def candidates(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes, a < b, that share a bucket of up to BUCKET nodes; keyed: (v, n, fp) of the buckets of over two."""
     pairs = shared.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
@@ -151,9 +167,9 @@ def chunk_links(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def large_buckets(hot: DataFrame, linked: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """linked, and the links that connect the buckets of hot (v, fp) as all their pairs would."""
+    """linked, and the links that connect the buckets of hot (v, fp, root) as all their pairs would."""
     pivots = settled(hot.groupBy("v").agg(F.min("fp").alias("a")))
-    used, rest = pivots, hot.withColumn("root", F.col("fp"))
+    used, rest = pivots, hot
     for turn in range(STARS):
         own = rest.select("v", F.col("fp").alias("a"), F.col("root").alias("own_root")).join(pivots, ["v", "a"], "left_semi")
         stars = salted_join(rest, own, ["v"], ["fp"], "inner").filter("root <> own_root").select("a", F.col("fp").alias("b")).distinct()
@@ -173,16 +189,19 @@ def large_buckets(hot: DataFrame, linked: DataFrame, sets: DataFrame, similar: f
     return linked.unionByName(chunk_links(rest, sets, similar))
 
 
-def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: float, width: int) -> DataFrame:
+def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: float, width: int, simhash_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of nodes whose similarity is ``similar`` or more, which connect the nodes as all such
-    pairs that share a bucket would; own: nodes() of docs, written."""
-    kinds = settled(own.groupBy("fp").agg(F.first("bands").alias("bands"), F.min(F.struct(F.col(id_col).alias("id"))).alias("x")))
+    pairs that share a bucket or that ``simhash_links`` gives for the fingerprints would; own: nodes() of docs, written."""
+    # Of texts that differ in repeats of shingles alone, one set has several fingerprints; the least is taken.
+    kinds = settled(own.groupBy("fp").agg(F.first("bands").alias("bands"), F.min("sim").alias("sim"), F.min(F.struct(F.col(id_col).alias("id"))).alias("x")))
+    fingerprinted = settled(simhash_pairs(kinds, settled(simhash_links(kinds.select(F.col("sim").alias("fp")).distinct()))))
     keyed = kinds.select("fp", F.explode("bands").alias("v"))
     shared = settled(keyed.groupBy("v").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most")).filter("n > 1"))
     keyed = settled(salted_join(keyed, shared.filter("n > 2").select("v", "n"), ["v"], ["fp"], "inner"))
     found = settled(candidates(keyed, shared))
     hot = keyed.filter(f"n > {BUCKET}").select("v", "fp")
-    wanted = settled(found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(hot.select("fp")).distinct())
+    ends = F.explode(F.array("a", "b")).alias("fp")
+    wanted = settled(found.select(ends).unionByName(fingerprinted.select(ends)).unionByName(hot.select("fp")).distinct())
     # Rows that repeat an id bring other sets along; their digests tell which are wanted.
     ids = kinds.join(wanted, "fp", "left_semi").select("x.id").distinct()
     source = docs.join(ids, docs[id_col].eqNullSafe(ids["id"]), "left_semi").select(F.col(text).alias("__text"))
@@ -196,5 +215,14 @@ def links(docs: DataFrame, own: DataFrame, id_col: str, text: str, similar: floa
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in sets], np.uint64).view(np.int64)), values], ["fp", "own"])
 
     sets = settled(source.mapInArrow(run, "fp long, own array<long>").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
-    linked = settled(verified(found, sets, similar))
-    return linked if hot.isEmpty() else large_buckets(hot, linked, sets, similar)
+    linked = settled(verified(fingerprinted, sets, similar, stars=True))
+    roots = contracted(linked)
+    # Pairs within a component need no look any more.
+    for c in ("a", "b"):
+        found = found.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    found = found.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    linked = settled(linked.unionByName(verified(found, sets, similar)))
+    if hot.isEmpty():
+        return linked
+    hot = settled(hot.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("v", "fp", F.coalesce("root", "fp").alias("root")))
+    return large_buckets(hot, linked, sets, similar)

@@ -204,8 +204,8 @@ def classes(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str
 def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text: str = "text", similar: float | None = None, width: int = 5) -> DataFrame:
     """One row of each component, with all its columns: of the rows with the least id, the first by text.
 
-    With ``similar``, rows are linked by the Jaccard similarity of their shingles of ``width`` words (near.py),
-    not by fingerprints within the radius.
+    With ``similar``, the links of fingerprints, here of shingles of ``width`` words, hold only if the sets of shingles have that
+    Jaccard similarity, and pairs that are similar enough but beyond the radius are linked too (near.py).
 
     Only ids travel: the texts are joined with the ids that stay, not with the components. Rows
     that repeat an id are told apart by a row number within it; those are few.
@@ -213,8 +213,8 @@ def representatives(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", te
     if similar is None:
         own, linked = settled(fingerprints(docs, text, (id_col,))), None
     else:
-        own = settled(near.nodes(docs, id_col, text, width))
-        linked = near.links(docs, own, id_col, text, similar, width)
+        own = settled(near.nodes(docs, id_col, text, width, _fingerprints))
+        linked = near.links(docs, own, id_col, text, similar, width, lambda fps: links(fps, radius))
     best = named(own, id_col, radius, linked).select(F.col("component_id").alias("__id"), F.lit(True).alias("__stays")).distinct()
     many = own.groupBy(F.col(id_col).alias("__many")).count().filter("count > 1").select("__many")
     many = settled(many)

@@ -427,6 +427,25 @@ def test_near_copies_by_similarity(spark, docs, none):
     assert simhash.representatives(none, similar=0.8).count() == 0
 
 
+def test_simhash_links_are_the_near_copies_first_step(spark, monkeypatch):
+    from terrafold.llm import near
+
+    base = prose(2000, 50).split()
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "other"])), (2, " ".join(["another", *base[1:]])), (3, prose(2000, 51))]
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert all((fps[0] ^ fps[i]).bit_count() <= 4 for i in (1, 2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(set(brute_links([t for _, t in rows], 0.8)))
+    kept = lambda: sorted(x for (x,) in pairs(simhash.representatives(frame, similar=0.8), "doc_id"))
+    assert kept() == want == [0, 3]
+    # Without candidates of MinHash bands the links of fingerprints stay, and what they linked isn't compared again.
+    compared, verified = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda found, *a, **k: compared.append(found.count()) or verified(found, *a, **k))
+    assert kept() == want and compared[0] >= 2 and compared[1] == 0
+    monkeypatch.setattr(near, "candidates", lambda keyed, shared: shared.select(F.col("least").alias("a"), F.col("most").alias("b")).limit(0))
+    assert kept() == want
+
+
 def test_items_of_under_five_words_are_found(spark):
     items = spark.createDataFrame([(1, "Seven Wizards!"), (2, "gone"), (3, "a b c d"), (4, "..."), (5, "seven wizards"), (6, prose(30, 20))], "item_id long, text string")
     texts = ["the seven wizards, and seven wizards", "wizards seven", "seven", "wizards", "x a b c d y", "b c d a", "gone", None, "", prose(40, 9) + " Gone. " + prose(30, 20)]
