@@ -11,14 +11,19 @@ one row for each token and task.
 
 Template. The class of the tokens that are once on every page is the root. Every other class is nested in that of
 its tokens' enclosing element; tokens of equal vectors in elements of different classes are classes of their own, so all
-classes are valid. The slots are the places in the template's elements. A text block of the root class is template text,
-not a slot, unless the host's pages have less than half as many other blocks: pages that are (near) copies of
-each other keep their text.
-
-Extraction. Text comes out of slots only. The slots inside article or main elements are the article; a page with no text
-in one gives its other slots, whatever the other pages of its host have, without template text and but for those where most of the
-host's text is in links (menus). Menus, headers, footers, asides, forms, scripts, adverts, notices
-and reader comments are boilerplate by element, role, class or id, wherever they stand, and are no slots; nothing else is
+classes are valid. A class whose enclosing element has its own vector, with one tag in each of these elements, is a part of the class
+around it. A class that is more than once on a page is a list of records: those of its tags that are equally often in each
+element and never twice in a row there, and the parts inside them, are one record, and what holds for its text as a whole
+holds for all of them. Any other tag stands for itself. A tag most of whose text is in links is a menu, and so is a record if that
+holds for the text of its tags and for all text inside it. An article or main tag of such a list is no slot, but an entry, if most of all
+text in it is in links. The slots are the other article and main tags; the places are all tags that have text and are in no
+menu. A text block of the root class is template text, unless the host's pages have less than half as many other
+blocks: pages that are (near) copies of each other keep their text.
+
+Extraction. Text in elements comes out of slots, entries and places only, so without classes there is none. What is inside slots is the
+article, with the entries unless the page has an article (or a main that holds no article) with text outside them. A page with no
+slot gives its places, without template text, and its entries; if that is nothing, its menus and template text too. Menus, headers,
+footers, asides, forms, scripts, adverts, notices and reader comments are boilerplate by element, role, class or id, wherever they stand, and are no slots; nothing else is
 dropped. A class, id or role marks boilerplate if all words of one of its names do ("cookie-notice", not
 "has-sidebar"), but never html, body, main, an article or what encloses one. Only lists of
 comments or related articles are marked though articles are in them, if another stands outside.
@@ -96,6 +101,11 @@ def _path(above: int, name: str) -> int:
     return _digest(f"{above:x}/{name}") | 1
 
 
+def _mixed(a: int, b: int) -> int:
+    x = (a + 2) * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
+    return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+
+
 class Page:
     """The elements of a page in order, and its text blocks."""
 
@@ -105,6 +115,8 @@ class Page:
         self.names: list[str] = []
         self.bad: list[bool] = []
         self.paths: list[int] = []
+        #: For each element: 1 if an article is inside it, 2 if a main is, 3 if both
+        self.holds: list[int] = []
         #: For each block: its element (-1 for none), text, characters of it in links
         self.blocks: list[tuple[int, str, int]] = []
         self._own: list[bool] = []  # boilerplate by element
@@ -190,7 +202,7 @@ class Page:
     def _settle(self) -> None:
         """Verdicts, which depend on the articles inside an element, and paths, which have the verdicts in them."""
         n = len(self.names)
-        holds = [0] * n  # 1: an article is inside, 2: a main is
+        holds = self.holds = [0] * n
         for i in range(n - 1, -1, -1):
             if self.above[i] >= 0:
                 holds[self.above[i]] |= holds[i] | {"article": 1, "main": 2}.get(self.names[i], 0)
@@ -225,27 +237,47 @@ def block_token(path: int, text: str) -> int:
     return _digest(f"{path:x}\n{text}")
 
 
-def page_tokens(page: Page) -> list[tuple[int, int, int, int, int, int]]:
-    """(token, parent, kind, times, characters, linked characters); kind: 0 the page itself, 1 a tag, 2 an article
-    or main tag, 3 a text block. Characters are those of the blocks right in a tag."""
-    out = [(0, 0, 0, 1, 0, 0)]
+def page_tokens(page: Page) -> list[tuple[int, ...]]:
+    """(token, parent, kind, times, characters, linked characters, turns, elements, characters and linked ones of all text inside,
+    spread); kind: 0 the page itself, 1 a tag, 2 an article or main tag, 3 a text block. Characters are those of the blocks right in a
+    tag, turns the times that it doesn't follow a tag of the same token in its element, elements those that it is in; spread
+    stands for its times in each of them."""
+    out = [(0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0)]
     parents = {p: page.paths[a] if a >= 0 else 0 for p, a in zip(page.paths, page.above)}
     kinds = {p: 2 if name in CONTENT and not bad else 1 for p, name, bad in zip(page.paths, page.names, page.bad)}
-    chars, linked, texts = Counter(), Counter(), Counter()
-    for _, path, text, in_links in page.good():
+    chars, linked, texts, turns = Counter(), Counter(), Counter(), Counter()
+    n = len(page.paths)
+    inner, inner_linked = [0] * (n + 1), [0] * (n + 1)  # the last for blocks in no element
+    for i, path, text, in_links in page.good():
         chars[path] += len(text)
         linked[path] += in_links
         texts[block_token(path, text), path] += 1
-    out += [(p, parents[p], kinds[p], n, chars[p], linked[p]) for p, n in Counter(page.paths).items()]
-    return out + [(t, path, 3, n, 0, 0) for (t, path), n in texts.items()]
-
-
-_FIELDS = ("parent", "kind", "pages", "times", "chars", "linked", "v1", "v2")
-_TOKENS = "host string, token long, parent long, kind int, pages long, times long, chars long, linked long, v1 long, v2 long"
+        inner[i] += len(text)
+        inner_linked[i] += in_links
+    inside, inside_linked = Counter(), Counter()
+    for i in range(n - 1, -1, -1):
+        inner[page.above[i]] += inner[i]
+        inner_linked[page.above[i]] += inner_linked[i]
+        inside[page.paths[i]] += inner[i]
+        inside_linked[page.paths[i]] += inner_linked[i]
+    last: dict[int, int] = {}
+    for path, above in zip(page.paths, page.above):
+        turns[path] += last.get(above) != path
+        last[above] = path
+    elements, spread = Counter(), Counter()
+    for (path, above), n in Counter(zip(page.paths, page.above)).items():
+        elements[path] += 1
+        spread[path] += _mixed(above, n)
+    out += [(p, parents[p], kinds[p], n, chars[p], linked[p], turns[p], elements[p], inside[p], inside_linked[p], spread[p]) for p, n in Counter(page.paths).items()]
+    return out + [(t, path, 3, n, 0, 0, 0, 0, 0, 0, 0) for (t, path), n in texts.items()]
+
+
+_FIELDS = ("parent", "kind", "pages", "times", "chars", "linked", "turns", "elements", "inner", "inner_linked", "spread", "v1", "v2")
+_TOKENS = "host string, token long, parent long, kind int, " + ", ".join(f"{c} long" for c in _FIELDS[2:])
 
 
 def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(host, token) sums over all pages; v1 and v2 stand for the occurrence vector."""
+    """(host, token) sums over all pages; v1 and v2 stand for the occurrence vector, spread for that of its elements."""
     source = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +286,11 @@ def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 total: dict[tuple[str, int], list[int]] = {}
                 for k, u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part, 2).to_pylist()):
                     host = host_of(u)
-                    for token, parent, kind, n, chars, linked in page_tokens(Page(h)):
+                    for token, parent, kind, n, *sums, spread in page_tokens(Page(h)):
+                        w = _digest(f"{k} {spread}") & 0xFFFFFFFF if spread else 0
                         x = _digest(f"{k} {n}")
-                        row = total.setdefault((host, token), [parent, kind, 0, 0, 0, 0, 0, 0])
-                        for j, value in enumerate((1, n, chars, linked, x & 0xFFFFFFFF, x >> 32), 2):
+                        row = total.setdefault((host, token), [parent, kind, *[0] * (len(_FIELDS) - 2)])
+                        for j, value in enumerate((1, n, *sums, w, x & 0xFFFFFFFF, x >> 32), 2):
                             row[j] += value
                 rows = list(total.items())
                 yield pa.RecordBatch.from_arrays(
@@ -270,52 +303,118 @@ def tokens(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return got.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.min("kind").alias("kind"), *[F.sum(c).alias(c) for c in _FIELDS[2:]])
 
 
+#: What a class says of each of its tags
+_MEMBER = ("token", "parent", "kind", "times", "turns", "spread", "chars", "linked", "inner", "inner_linked", "nested")
+#: What the template has of a host
+SLOTS, ENTRIES, PLACES, MENUS, FIXED = range(5)
+
+
 def classes(table: DataFrame) -> DataFrame:
-    """(host, v1, v2, p1, p2, tokens, root): the classes of tags, by their vector and that of the enclosing element."""
-    tags = table.filter("kind IN (1, 2)").select("host", "token", "parent", "v1", "v2")
+    """(host, v1, v2, p1, p2, tokens, root, listed, members): the classes of tags, by their vector and that of the enclosing element.
+    ``listed``: more than once on a page; ``nested`` members: one in each enclosing element."""
+    tags = table.filter("kind IN (1, 2)").select("host", "v1", "v2", "pages", "elements", *_MEMBER[:-1])
     over = tags.select("host", F.col("token").alias("parent"), F.col("v1").alias("p1"), F.col("v2").alias("p2"))
     page = table.filter("kind = 0").select("host", F.col("v1").alias("r1"), F.col("v2").alias("r2"))
     nested = tags.join(over, ["host", "parent"], "left").join(page, "host")
     root = F.expr("v1 = r1 AND v2 = r2")
     # The tokens that are once on every page are one class, wherever they stand.
     own = nested.withColumn("root", root).withColumns({c: F.when(root, None).otherwise(F.col(c)) for c in ("p1", "p2")})
-    return own.groupBy("host", "v1", "v2", "p1", "p2").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.first("root").alias("root"))
+    own = own.withColumn("nested", F.expr("coalesce(p1 = v1 AND p2 = v2 AND elements = times, false)"))
+    listed = F.first(F.expr("times > pages")).alias("listed")
+    return own.groupBy("host", "v1", "v2", "p1", "p2").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.first("root").alias("root"), listed, F.collect_list(F.struct(*_MEMBER)).alias("members"))
+
+
+def records(members: list[tuple], listed: bool) -> list[list[tuple]]:
+    """The tags of one vector by records; those of a class that isn't a list each stand for themselves."""
+    if not listed:
+        return [[m] for m in members]
+    heads: dict[int, tuple[int, int, int]] = {}
+    parents: dict[int, int] = {}
+    for token, parent, _, times, turns, spread, *_, nested in members:
+        if nested:
+            parents[token] = parent
+        else:
+            heads[token] = (parent, spread, 0 if turns == times else token)
+    for token in parents:
+        chain = [token]
+        while chain[-1] not in heads:
+            chain.append(parents[chain[-1]])
+        for part in chain:
+            heads[part] = heads[chain[-1]]
+    out: dict[tuple[int, int, int], list[tuple]] = {}
+    for m in members:
+        out.setdefault(heads[m[0]], []).append(m)
+    return list(out.values())
+
+
+def decided(members: list[tuple], listed: bool) -> Iterator[tuple[int, int]]:
+    """(token, SLOTS, ENTRIES, PLACES or MENUS) of the tags of one vector; a tag may have two, or none."""
+    for record in records(members, listed):
+        chars, linked = (sum(m[j] for m in record) for j in (6, 7))
+        menu = chars > 0 and linked >= LINKS * chars
+        if len(record) > 1:
+            menu &= sum(m[9] for m in record if not m[10]) >= LINKS * sum(m[8] for m in record if not m[10])
+        for token, _, kind, _, _, _, own, _, inner, inner_linked, _ in record:
+            if kind == 2:
+                yield token, ENTRIES if listed and menu and inner_linked >= LINKS * inner else SLOTS
+            if own:
+                yield token, MENUS if menu else PLACES
 
 
 def templates(table: DataFrame) -> DataFrame:
-    """A row for each host: the article or main tags of its template, its menus, and its template text."""
-    slots = classes(table).select("host", F.explode("tokens").alias("token")).join(table.filter("kind = 2").select("host", "token"), ["host", "token"])
-    menus = table.filter(f"kind IN (1, 2) AND chars > 0 AND linked >= {LINKS} * chars").select("host", "token")
+    """A row for each host: what its classes make of its tags, and its template text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, members, listed in zip(*(batch.column(j).to_pylist() for j in range(3))):
+                rows += [(host, *x) for x in decided([tuple(m[c] for c in _MEMBER) for m in members], listed)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int32()))], ["host", "token", "k"])
+
+    vectors = classes(table).groupBy("host", "v1", "v2").agg(F.flatten(F.collect_list("members")).alias("members"), F.first("listed").alias("listed"))
+    tags = vectors.select("host", "members", "listed").mapInArrow(run, "host string, token long, k int")
     root = table.filter("kind = 0").select("host", F.col("v1").alias("r1"), F.col("v2").alias("r2"), "pages")
     texts = table.filter("kind = 3").select("host", "token", "times", "v1", "v2").join(root, "host").withColumn("same", F.expr("v1 = r1 AND v2 = r2"))
     few = texts.groupBy("host").agg(F.sum(F.when(F.col("same"), F.col("times"))).alias("s"), F.sum(F.when(~F.col("same"), F.col("times"))).alias("o")).filter("s <= 2 * o").select("host")
-    fixed = texts.filter("same").select("host", "token").join(few, "host")
-    rows = [x.select("host", "token", F.lit(k).alias("k")) for k, x in enumerate((slots, menus, fixed))]
-    rows = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(root.select("host", F.lit(0).cast("long").alias("token"), F.lit(3).alias("k")))
-    listed = lambda k: F.collect_list(F.when(F.col("k") == k, F.col("token")))
-    return rows.groupBy("host").agg(listed(0).alias("slots"), listed(1).alias("menus"), listed(2).alias("fixed"))
+    fixed = texts.filter("same").select("host", "token").join(few, "host").select("host", "token", F.lit(FIXED).alias("k"))
+    rows = tags.unionByName(fixed).unionByName(root.select("host", F.lit(0).cast("long").alias("token"), F.lit(-1).alias("k")))
+    names = ("slots", "entries", "places", "menus", "fixed")
+    return rows.groupBy("host").agg(*[F.collect_list(F.when(F.col("k") == k, F.col("token"))).alias(c) for k, c in enumerate(names)])
 
 
-def main_text(source: str, template: tuple[frozenset, frozenset, frozenset] | None) -> str:
-    """The text of a page in the slots of a template (slots, menus, fixed); without a template, none."""
+def main_text(source: str, template: tuple[frozenset, ...] | None) -> str:
+    """The text of a page by a template (slots, entries, places, menus, fixed); without a template, none."""
     if template is None:
         return ""
-    slots, menus, fixed = template
+    slots, entries, places, menus, fixed = template
     page = Page(source)
     inside: list[bool] = []
-    for above, path in zip(page.above, page.paths):
-        inside.append(path in slots or (above >= 0 and inside[above]))
+    listed: list[bool] = []
+    owned: list[bool] = []  # in an article, or in a main that holds none
+    for above, path, name, holds in zip(page.above, page.paths, page.names, page.holds):
+        over = above >= 0
+        inside.append(path in slots or (over and inside[above]))
+        listed.append(path in entries or (over and listed[above]))
+        owned.append((path in slots and (name == "article" or not holds & 1)) or (over and owned[above]))
     good = list(page.good())
-    found = [b for b in good if b[0] >= 0 and inside[b[0]]]
-    if not any(inside):
-        found = [b for b in good if b[1] not in menus and not (fixed and block_token(b[1], b[2]) in fixed)] or good
+    if any(inside):
+        own = any(i >= 0 and owned[i] and not listed[i] for i, *_ in good)
+        found = [b for b in good if b[0] >= 0 and (not own if listed[b[0]] else inside[b[0]])]
+    else:
+        found = [b for b in good if (b[0] >= 0 and listed[b[0]]) or ((b[0] < 0 or b[1] in places) and not (fixed and block_token(b[1], b[2]) in fixed))]
+        found = found or [b for b in good if b[0] < 0 or b[1] in places or b[1] in menus]
     return "\n".join(b[2] for b in found)
 
 
-def own_template(source: str) -> tuple[frozenset, frozenset, frozenset]:
+def own_template(source: str) -> tuple[frozenset, ...]:
     """The template of a host with this page alone."""
-    rows = page_tokens(Page(source))
-    return frozenset(r[0] for r in rows if r[2] == 2), frozenset(r[0] for r in rows if r[2] in (1, 2) and r[4] and r[5] >= LINKS * r[4]), frozenset()
+    tags = [r for r in page_tokens(Page(source)) if r[2] in (1, 2)]
+    times = {r[0]: r[3] for r in tags}
+    vectors: dict[int, list[tuple]] = {}
+    for token, parent, kind, n, chars, linked, turns, elements, *inner, spread in tags:
+        vectors.setdefault(n, []).append((token, parent, kind, n, turns, spread, chars, linked, *inner, times.get(parent) == n == elements))
+    found = [x for n, members in vectors.items() for x in decided(members, n > 1)]
+    return tuple(frozenset(t for t, k in found if k == j) for j in (SLOTS, ENTRIES, PLACES, MENUS, FIXED))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), key: str = "page_id", url: str = "url", html: str = "html", disabled: bool = False) -> DataFrame:
@@ -324,10 +423,10 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), key: s
     ``disabled`` leaves the templates out, which leaves no slots and so no text: for tests of what they decide.
     """
     found = settled(templates(settled(tokens(pages, key, url, html))))
-    size = found.agg(F.sum(F.octet_length("host") + 8 * (F.size("slots") + F.size("menus") + F.size("fixed")) + 64)).first()[0] or 0
+    size = found.agg(F.sum(F.octet_length("host") + 8 * (F.size("slots") + F.size("entries") + F.size("places") + F.size("menus") + F.size("fixed")) + 64)).first()[0] or 0
     if disabled:
         found = found.limit(0)
-    names = [free(keep, f"__{x}") for x in ("host", "html", "slots", "menus", "fixed")]
+    names = [free(keep, f"__{x}") for x in ("host", "html", "slots", "entries", "places", "menus", "fixed")]
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), "^.*@", ""))
     source = pages.select(*keep, host.alias(names[0]), F.col(html).alias(names[1]))
     found = found.toDF(names[0], *names[2:])
@@ -343,7 +442,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), key: s
                 texts = []
                 for i, (at, h) in enumerate(zip(part.column(n).to_pylist(), texts_of(part, n + 1).to_pylist())):
                     if at not in own:
-                        lists = [part.column(j)[i].as_py() for j in (n + 2, n + 3, n + 4)]
+                        lists = [part.column(j)[i].as_py() for j in range(n + 2, n + 7)]
                         own[at] = None if lists[0] is None else tuple(map(frozenset, lists))
                     texts.append(main_text(h, own[at]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
