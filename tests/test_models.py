@@ -127,3 +127,37 @@ def test_arrays_reach_the_driver_packed(spark, monkeypatch):
     parts = {"train": list(range(12)), "val": list(range(12, 16)), "test": list(range(16, 20))}
     got = Q.search(spark, [("laplacian_mu1_S5", "laplacian", 1.0, 5)], correct, acc, pairs, parts, trials=2, max_steps=5)
     assert len(got.first()["points"]) == 5
+
+
+def test_population_scores_in_its_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.operators import metrics as M
+
+    rng = np.random.default_rng(4)
+    pts = spark.createDataFrame([(i, float(rng.normal()), float(i % 5), int(rng.random() < 0.4), i % 2 if i else 7) for i in range(300)], "pid long, f double, g double, label int, ood int")
+    specs = MO.grid(spark).filter("grid_idx IN (0, 9, 60, 200, 260, 290)")
+    got = MO.population(specs, pts, pts, ["f", "g"], "pid", least=50, by="ood")
+    s = MO.population(specs, pts, pts, ["f", "g"], "pid", least=50).join(pts.select("pid", "ood", F.col("label").alias("y")), "pid").withColumn("s", M.true_class_score(F.col("p"), F.col("y")))
+    by = ["grid_idx", "ood"]
+    want = M.pooled(s, by).join(M.auroc(s, by), by).select(*by, "n", "n_correct", "tp", "fp", "auc")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.collect()), key=lambda r: r[:2]) and got.count() == 18
+
+
+def test_rates_of_missing_values_are_those_of_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.operators import metrics as M
+
+    rows = [(None, 1), (0.5, 0), (0.5, 1), (0.75, None), (None, 0), (0.25, 1), (0.875, 1), (0.25, 0)]
+    s = spark.createDataFrame(rows, "p double, y int").withColumns({"k": F.lit(1), "s": M.true_class_score(F.col("p"), F.col("y"))})
+    want = M.pooled(s, ["k"]).join(M.auroc(s, ["k"]), "k").select("n", "n_correct", "tp", "fp", "auc").first()
+    p, y = np.array(rows, float).T
+    assert M.rates_of(p, y) == want.asDict() and np.isnan(M.rates_of(p[:1], y[:1])["auc"])
+
+
+def test_the_population_query_sends_no_predictions_to_the_driver(spark):
+    from terrafold.plans import population
+
+    plan = population.population(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and not plan.partition("BroadcastExchange")[2].count("MapInPandas")
