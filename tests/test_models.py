@@ -161,3 +161,30 @@ def test_the_population_query_sends_no_predictions_to_the_driver(spark):
 
     plan = population.population(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") == 1 and not plan.partition("BroadcastExchange")[2].count("MapInPandas")
+
+
+@pytest.mark.parametrize("points", [40, 900])
+def test_neighbour_sums_are_those_of_all_pairs(points):
+    rng = np.random.default_rng(6)
+    pairs = np.unique(np.sort(rng.integers(1, points, (points * 9, 2)), 1), axis=0)
+    pairs = np.concatenate((pairs[pairs[:, 0] < pairs[:, 1]], [(0, i) for i in range(1, points - 3)])).astype(np.int32)  # point 0 is a hub
+    w = np.round(rng.random(points), 2)
+    near, d = Q.Neighbours(pairs, points), w[pairs[:, 0]] - w[pairs[:, 1]]
+    assert len(near.rest) and bool(near.rounds) == (points > Q.LEAST_ROUND)
+    for got, each in ((near.gaps(w), d), (near.signs(w), np.sign(d))):
+        want = np.bincount(pairs[:, 0], each, points) - np.bincount(pairs[:, 1], each, points)
+        assert np.abs(got - want).max() < 1e-10
+    assert (near.signs(w) == want).all()
+
+
+def test_few_ones_multiply_as_the_matrix_does():
+    rng = np.random.default_rng(7)
+    z, w = (rng.random((12, 50)) < 0.1).astype(np.uint8), rng.random(50)
+    z[3] = 0
+    few = Q.compact(z)
+    assert isinstance(few, Q.Ones) and isinstance(Q.compact(1 - z), np.ndarray)
+    assert few @ w == pytest.approx(z @ w) and few.T @ w[:12] == pytest.approx(z.T @ w[:12])
+    assert np.abs(Q.compact(z[:0]) @ w).sum() == 0
+    target = rng.normal(size=12)
+    (r, g), (r1, g1) = Q.soft_correlation(few, w, target), Q.soft_correlation(z.astype(float), w, target)
+    assert r == pytest.approx(r1) and g == pytest.approx(g1)
